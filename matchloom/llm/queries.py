@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import bpe, mixing, mpegts, pii, simhash, urls
+from matchloom.llm import bpe, langid, mixing, mpegts, pii, simhash, suffixes, urls
 from matchloom.llm.common import documents
 
 
@@ -13,6 +13,10 @@ def op1_mpeg_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegts.media_features(documents(spark, sf_dir))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(documents(spark, sf_dir)))
 
@@ -25,6 +29,10 @@ def op6_byte_pair_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
 
 
+def op8_language_identification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_predictions(documents(spark, sf_dir))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -33,5 +41,5 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mpeg_transport_streams, op3_personal_data, op5_simhash_near_duplicates, op6_byte_pair_encoding, op9_url_filter, op10_source_mix)}
+QUERIES = {name: f for name, f in sorted(globals().items(), key=lambda x: (len(x[0].split("_")[0]), x[0])) if name.startswith("op")}
 ORACLE = {"op3_personal_data": pii.ORACLE, "op9_url_filter": urls.oracle(), "op10_source_mix": mixing.ORACLE}
