@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import bpe, langid, mixing, mpegts, pii, simhash, suffixes, urls
+from matchloom.llm import bpe, hnsw, langid, lines, mixing, mpegts, pii, simhash, suffixes, urls
 from matchloom.llm.common import documents
 
 
@@ -21,6 +21,10 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(documents(spark, sf_dir)))
 
 
+def op4_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_digest(documents(spark, sf_dir))
+
+
 def op5_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -29,6 +33,10 @@ def op6_byte_pair_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
 
 
+def op7_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_language_identification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_predictions(documents(spark, sf_dir))
 
