@@ -178,7 +178,7 @@ def _rows(path, keep_ids, batches):
             pa.array([hashlib.sha256(x).hexdigest() for x in encoder.decode(ids, at)], pa.string()),
         ]
         if keep_ids:
-            out.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int64))))
+            out.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32))))
         yield pa.record_batch(out, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids])
 
 
@@ -189,5 +189,5 @@ def encode(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:
     none is added. Null and empty texts have no ids. Texts are encoded whole; extra columns are
     ignored; repeated rows give repeated rows.
     """
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * keep_ids
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     return docs.select("doc_id", "text").mapInArrow(partial(_rows, path, keep_ids), schema)

@@ -61,10 +61,10 @@ def targets(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
 
 
 def mix(docs: DataFrame, labels: DataFrame | None = None, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every row of ``docs``.
+    """doc_id, source, size, source_size, target, taken, copies for every row of ``docs``.
 
-    size: number of words (null texts: 0); taken: words of the document that the mix holds, a whole
-    multiple of its size. A null source is a source of its own; a null doc_id has one key like any
+    size: number of words (null texts: 0); copies: how often the mix holds the document; taken: the
+    words of these copies. A null source is a source of its own; a null doc_id has one key like any
     other; equal keys go by doc_id and size, and rows equal in all these are alike. Sources without
     words get nothing. Extra columns are ignored; no rows give no rows.
     """
@@ -93,7 +93,7 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, weights=WEIGHTS, max_e
     run = run.join(sums.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.range") == F.col("b.range")))
     # Nearest whole document: it is drawn if its middle lies within the words left.
     drawn = (F.col("ahead") + F.col("run") - F.col("size") / 2 <= F.col("left")).cast("long")
-    return run.select("doc_id", "a.source", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + drawn)).alias("taken"))
+    return run.select("doc_id", "a.source", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + drawn)).alias("taken"), (F.col("epochs") + drawn).alias("copies"))
 
 
 ORACLE = f"""
@@ -109,4 +109,4 @@ t AS (SELECT source, source_size, least(cap, w * coalesce((SELECT level FROM l),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
 run AS (SELECT d.*, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS left_words, sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS run
   FROM sized d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
-SELECT doc_id, source, size, source_size, target, (size * (epochs + (run - size / 2 <= left_words)::INT))::BIGINT AS taken FROM run"""
+SELECT doc_id, source, size, source_size, target, (size * (epochs + (run - size / 2 <= left_words)::INT))::BIGINT AS taken, epochs + (run - size / 2 <= left_words)::BIGINT AS copies FROM run"""
