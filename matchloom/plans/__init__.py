@@ -1,0 +1,2 @@
+from matchloom.plans import vision_queries  # noqa: F401
+from matchloom.plans.registry import ORACLE, QUERIES  # noqa: F401
