@@ -23,7 +23,7 @@ from matchloom.llm.common import materialize, small_batches, utf8
 
 LENGTH = 400
 GRAM = 64
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 3 << 19
 CHUNK = 1 << 22
 _ODD = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(7).integers(1, 1 << 63, size=256, dtype=np.uint64)
