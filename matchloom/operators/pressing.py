@@ -58,7 +58,9 @@ def convergence(players: DataFrame, ball: DataFrame, radius: float = RADIUS_M) -
 def frame_phases(ball: DataFrame, spells: DataFrame) -> DataFrame:
     """Phase of each frame, null outside all: inside, the last start looking back and the next end looking
     on are of one phase, so no range join is needed."""
-    marks = spells.select("match_id", F.inline(F.array(F.struct(F.col("start_frame").alias("frame_idx"), F.col("phase").alias("s"), F.lit(None).cast("long").alias("e")), F.struct(F.col("end_frame"), F.lit(None).cast("long"), F.col("phase")))))
+    none = F.lit(None).cast("long")
+    at = lambda f, s, e: F.struct(F.col(f).alias("frame_idx"), s.alias("s"), e.alias("e"))
+    marks = spells.select("match_id", F.inline(F.array(at("start_frame", F.col("phase"), none), at("end_frame", none, F.col("phase")))))
     marks = marks.groupBy(*FRAME).agg(F.max("s").alias("s"), F.max("e").alias("e"))
     w = Window.partitionBy("match_id").orderBy("frame_idx")
     rows = spine(ball).join(marks, FRAME, "left")

@@ -221,7 +221,7 @@ def identity_report(ids: DataFrame, cfg: TrackingConfig = TrackingConfig()) -> D
     """Chains of 1, 2 and 3 or more tracklets, identities by class and whether too many exist."""
     chains = ids.groupBy("match_id", "track_id").agg(F.count("*").alias("n"), F.first("class").alias("class"))
     by_class = [F.count_if(F.col("class") == c).alias(f"n_{c}") for c in ("player", "goalkeeper", "referee")]
-    out = chains.groupBy("match_id").agg(F.count_if("n = 1").alias("chains_1"), F.count_if("n = 2").alias("chains_2"), F.count_if("n >= 3").alias("chains_3"), *by_class)
+    out = chains.groupBy("match_id").agg(F.count_if(F.col("n") == 1).alias("chains_1"), F.count_if(F.col("n") == 2).alias("chains_2"), F.count_if(F.col("n") >= 3).alias("chains_3"), *by_class)
     return out.withColumns({f"over_{c}": F.col(f"n_{c}") > m for c, m in cfg.expected})
 
 
