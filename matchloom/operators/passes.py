@@ -19,7 +19,8 @@ class PassConfig:
     lost_share: float = 0.5
 
 
-ORDER = Window.partitionBy("match_id").orderBy("frame_idx")
+def _order():
+    return Window.partitionBy("match_id").orderBy("frame_idx")
 
 
 def first_teams(players: DataFrame) -> DataFrame:
@@ -42,14 +43,14 @@ def _counted(ball: DataFrame, margin: float) -> DataFrame:
     """Running numbers of frames, lost frames and frames with the ball out, before carriers are filtered."""
     out = ~(F.col("ball_pitch_x").between(-margin, PITCH_LENGTH + margin) & F.col("ball_pitch_y").between(-margin, PITCH_WIDTH + margin))
     flags = {"rows": F.lit(1), "lost": (F.col("ball_source") == "lost").cast("int"), "out": F.coalesce(out, F.lit(False)).cast("int")}
-    upto = ORDER.rowsBetween(Window.unboundedPreceding, 0)
+    upto = _order().rowsBetween(Window.unboundedPreceding, 0)
     return ball.withColumns({f"own_{k}": v for k, v in flags.items()}).withColumns({f"cum_{k}": F.sum(f"own_{k}").over(upto) for k in flags})
 
 
 def _runs(ball: DataFrame, bridge: int) -> DataFrame:
     held = ball.filter("carrier_track_id is not null")
-    new = (F.col("carrier_track_id") != F.lag("carrier_track_id").over(ORDER)) | (F.col("frame_idx") - F.lag("frame_idx").over(ORDER) > bridge)
-    return held.withColumn("_new", F.coalesce(new.cast("int"), F.lit(0))).withColumn("seg", F.sum("_new").over(ORDER))
+    new = (F.col("carrier_track_id") != F.lag("carrier_track_id").over(_order())) | (F.col("frame_idx") - F.lag("frame_idx").over(_order()) > bridge)
+    return held.withColumn("_new", F.coalesce(new.cast("int"), F.lit(0))).withColumn("seg", F.sum("_new").over(_order()))
 
 
 def segments(ball: DataFrame, cfg: PassConfig) -> DataFrame:
@@ -155,7 +156,7 @@ def label_shots_saved(passes: DataFrame, keepers: DataFrame, directions: DataFra
 
 def trailing_velocity(ball: DataFrame, frames: int = 5, fps: float = 25.0) -> DataFrame:
     """Velocity between the first and last known place within ``frames`` frames back; null if one."""
-    w = ORDER.rangeBetween(-frames, 0)
+    w = _order().rangeBetween(-frames, 0)
     point = F.when(F.col("ball_pitch_x").isNotNull(), F.struct("frame_idx", "ball_pitch_x", "ball_pitch_y"))
     rows = ball.withColumns({"_a": F.first(point, ignorenulls=True).over(w), "_b": F.last(point, ignorenulls=True).over(w)})
     dt = (F.col("_b.frame_idx") - F.col("_a.frame_idx")) / fps
