@@ -151,10 +151,10 @@ def _(t):
 
 
 @register("k14_attach_ball", "detections", """, b AS (SELECT match_id, frame_idx, min_by(x1, det_id) AS bx, min_by(conf, det_id) AS bc FROM detections WHERE class = 'ball' GROUP BY ALL)
-  --- SELECT match_id, track_id, count(*) AS n, count(bx) AS n_ball, min(bx) AS lo, avg(bc) AS conf FROM tracks LEFT JOIN b USING (match_id, frame_idx) GROUP BY match_id, track_id""", "lo conf")
+  --- SELECT match_id, track_id, count(*) AS n, count(bx) AS n_ball, min(bx) AS lo, sum(bc) AS conf FROM tracks LEFT JOIN b USING (match_id, frame_idx) GROUP BY match_id, track_id""", "lo conf")
 def _(t):
     a = tracklets.attach_ball(t.tracks, t.detections)
-    return a.groupBy("match_id", "track_id").agg(F.count("*").alias("n"), F.count("ball_x1").alias("n_ball"), F.min("ball_x1").alias("lo"), F.avg("ball_conf").alias("conf"))
+    return a.groupBy("match_id", "track_id").agg(F.count("*").alias("n"), F.count("ball_x1").alias("n_ball"), F.min("ball_x1").alias("lo"), F.sum("ball_conf").alias("conf"))
 
 
 @register("k15_drop_ghosts", "tracks", "SELECT match_id, track_id, count(*) AS n FROM tracks GROUP BY ALL HAVING count(*) >= 300")
