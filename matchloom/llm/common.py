@@ -1,66 +1,22 @@
-"""Shared pieces: scratch tables in the cluster's shared folder, Arrow text access, components."""
+"""Shared pieces: Arrow text access, a bitmap sieve, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchloom.sources.io import materialize, release
+
 #: Words are runs of characters other than space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
-_FALLBACK: dict[str, str] = {}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _FALLBACK:
-        _FALLBACK[app] = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(_FALLBACK[app])
-    return _FALLBACK[app]
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/matchloom/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    This cuts the lineage, so that a lost executor costs one stage at most, and lets several
-    readers share one computation.
-    """
-    path = scratch_path(df.sparkSession, label)
-    df.write.mode("overwrite").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def release(df: DataFrame | None) -> None:
-    """Delete a table made by :func:`materialize` that no later plan reads."""
-    path = getattr(df, "_scratch", None)
-    if path:
-        spark = df.sparkSession
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def parallelism(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, memoryview]:
     """Offsets (n + 1) and bytes of a string or binary Arrow column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -95,6 +51,23 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+SIEVE_BITS, PAGE = 1 << 23, 1 << 15
+
+
+def sieve(rows: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:
+    """Add ``_maybe`` to ``rows``: false if the key is surely not in ``wanted``.
+
+    One hashed bit a key in a bitmap of SIEVE_BITS (1 MB, whatever the number of keys), so that it
+    can be broadcast. It saves a shuffle of rows without a partner; a full one only saves nothing.
+    """
+    spot = F.pmod(F.xxhash64(*key), F.lit(SIEVE_BITS))
+    pages = wanted.select(spot.alias("_spot")).groupBy(F.floor(F.col("_spot") / PAGE).alias("_page")).agg(F.bitmap_construct_agg(F.col("_spot") % PAGE).alias("_bits"))
+    at = rows.withColumn("_spot", spot).withColumn("_page", F.floor(F.col("_spot") / PAGE)).join(F.broadcast(pages), "_page", "left")
+    byte = F.conv(F.hex(F.expr(f"substring(_bits, cast(_spot % {PAGE} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.expr("cast(_spot % 8 as int)")
+    return at.withColumn("_maybe", F.coalesce(F.call_function("getbit", byte, hit) == 1, F.lit(False))).drop("_spot", "_page", "_bits")
+
+
 SALTS = 8
 
 

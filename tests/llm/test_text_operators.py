@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from matchloom.llm import bpe, hnsw, langid, lines, mixing, mpegts, pii, queries, simhash, suffixes, urls
-from matchloom.llm.common import connected_components, documents
+from matchloom.llm.common import connected_components, documents, sieve
 
 DOCS = "doc_id long, text string, lang string, source string, fp long, component string, n_lines long, size string, score string"
 
@@ -173,11 +173,20 @@ def test_fuzzy_lines(spark, odd, empty):
 
 
 def test_line_simhash(spark):
-    texts = ["one two three", "x", " ".join(f"w{i}" for i in range(700)), "same " * 300 + "other"]
-    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", lines.lane_counts(F.col("t")).alias("c")).select("t", lines._bits("c").alias("fp"))
-    for r in df.collect():
-        hs = [xxhash.xxh64_intdigest(w.encode(), 42) for w in r.t.split(" ")]
-        assert r.fp & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+    texts = ["one three seven", "x", " ".join(f"w{i:04}" for i in range(700)), "same " * 300 + "other", "a bc def"]
+    df = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts * 2)], "h1 long, h2 long, normal string")
+    got = {r.h1: r.fp & (2**64 - 1) for r in lines.prints(df).collect()}
+    for i, t in enumerate(texts * 2):
+        hs = [xxhash.xxh64_intdigest(w.encode(), 42) for w in t.split(" ") if len(w) >= lines.LONG_WORD]
+        assert got.get(i) == (sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) if hs else None)
+
+
+def test_sieve(spark):
+    rows = spark.range(5000).withColumn("x", F.col("id") * 7919)
+    wanted = rows.filter("id % 10 = 3")
+    out = sieve(rows, wanted, "x").collect()
+    assert all(r._maybe for r in out if r.id % 10 == 3) and sum(r._maybe for r in out) < 520 and len(out) == 5000
+    assert not any(r._maybe for r in sieve(rows, wanted.limit(0), "x").collect())
 
 
 def test_block_scheme():
