@@ -108,9 +108,15 @@ def _segment_rows(length, gram, batches):
             seg = np.fromiter((xxhash.xxh3_64_intdigest(part[s:e]) for s, e in zip(at.tolist(), (at + count + length - 1).tolist())), dtype=np.uint64, count=len(at))
             rows = k + owner
             place = at - (cut[owner] - base) + skip
+            # A periodic text has one segment many times: it travels once, with its places.
+            order = np.lexsort((place, seg, anchor, rows))
+            key = np.stack([rows[order], anchor[order].view(np.int64), seg[order].view(np.int64)])
+            first = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)])
+            places = pa.ListArray.from_arrays(pa.array(np.r_[first, len(order)], pa.int32()), pa.array(place[order]))
+            row = pa.array(key[0, first])
             yield pa.record_batch(
-                [batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(place), pa.array(count.astype(np.int32))],
-                names=["doc", "print", "anchor", "seg", "place", "windows"],
+                [batch.column(0).take(row), batch.column(1).take(row), pa.array(key[1, first]), pa.array(key[2, first]), places, pa.array(count[order][first].astype(np.int32))],
+                names=["doc", "print", "anchor", "seg", "places", "windows"],
             )
 
 
@@ -273,8 +279,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     """doc, print, spans: byte ranges covered by a ``length``-byte string that also starts anywhere
     else, of each text (known by doc_id and hash) that has any; ranges may overlap."""
     keyed = _with_key(docs)
-    found = materialize(keyed.select("doc", "print", "text").mapInArrow(partial(_segment_rows, length, gram), "doc long, print long, anchor long, seg long, place long, windows int"), "repeat-segments")
-    segs = found.groupBy("anchor", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "print", "place", "windows")).alias("one"))
+    found = materialize(keyed.select("doc", "print", "text").mapInArrow(partial(_segment_rows, length, gram), "doc long, print long, anchor long, seg long, places array<long>, windows int"), "repeat-segments")
+    segs = found.groupBy("anchor", "seg").agg(F.sum(F.size("places")).alias("copies"), F.min(F.struct("doc", "print", F.get("places", F.lit(0)).alias("place"), "windows")).alias("one"))
     anchors = segs.groupBy("anchor").agg(F.sum("copies").alias("total"), F.sum(F.col("one.windows") + (length - 1)).alias("bytes")).filter("total > 1")
     shared = materialize(segs.join(anchors, "anchor").select("anchor", "seg", "copies", "one.*", "bytes"), "repeat-shared")
     volume = shared.agg(F.sum(F.col("windows") + (length - 1))).first()[0] or 0
@@ -290,10 +296,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     whole = local.filter("high is null")
     split = local.filter("high is not null").withColumn("range", F.shiftrightunsigned("high", max(24, 60 - int(volume // shard_bytes).bit_length())))
     across = split.groupBy("range").applyInArrow(lambda table: _merge(table), _FOUND)
-    windows = whole.unionByName(across).groupBy("anchor", "seg").agg(F.collect_set(F.struct("since", "until")).alias("runs"))
-    spans = found.select("doc", "print", "anchor", "seg", "place").join(windows, ["anchor", "seg"])
-    spans = spans.select("doc", "print", F.transform("runs", lambda r: F.struct((F.col("place") + r.since).alias("since"), (F.col("place") + r.until + (length - 1)).alias("until"))).alias("runs"))
-    return spans.groupBy("doc", "print").agg(F.flatten(F.collect_list("runs")).alias("spans"))
+    # Written first, so that both sides of the join are plain exchanges and a hot segment can be split.
+    windows = materialize(whole.unionByName(across).groupBy("anchor", "seg").agg(F.collect_set(F.struct("since", "until")).alias("runs")), "repeat-windows")
+    spans = found.select("doc", "print", "anchor", "seg", "places").join(windows, ["anchor", "seg"])
+    moved = F.flatten(F.transform("places", lambda p: F.transform("runs", lambda r: F.struct((p + r.since).alias("since"), (p + r.until + (length - 1)).alias("until")))))
+    return spans.select("doc", "print", moved.alias("runs")).groupBy("doc", "print").agg(F.flatten(F.collect_list("runs")).alias("spans"))
 
 
 def _kept_rows(batches):
