@@ -15,7 +15,7 @@ from matchloom.llm.common import WORD, materialize
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
 GOOD, POOR = 2.0, 0.5
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4096
 SEED = "mix-1"
 
 
