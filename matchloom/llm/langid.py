@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import small_batches, utf8
+from matchloom.llm.common import materialize, small_batches, utf8
 
 BITS = 16
 LONGEST = 3
@@ -127,9 +127,10 @@ def predict(model, texts: list[str]) -> tuple[list[str], np.ndarray]:
 
 
 def _fit_rows(batches):
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
         return
+    table = pa.Table.from_batches(batches)
     table = table.sort_by([("order", "ascending"), ("lang", "ascending")])
     names, weights, bias, temperature = fit(table["text"].to_pylist(), table["lang"].to_pylist())
     row = [pa.array([names]), pa.array([weights.astype("<f4").tobytes()], pa.binary()), pa.array([bias.tolist()]), pa.array([temperature])]
@@ -142,7 +143,8 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG):
     rows = docs.filter("lang is not null and text is not null and crc32(cast(doc_id as string)) % 5 <> 0")
     drawn = rows.select("doc_id", "lang").withColumn("order", F.xxhash64("doc_id"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
-    drawn = drawn.withColumn("place", place).filter(F.col("place") <= per_lang).select("doc_id", "lang", "order").distinct()
+    # Written first: its true size then tells Spark to broadcast it, and no text is shuffled.
+    drawn = materialize(drawn.withColumn("place", place).filter(F.col("place") <= per_lang).select("doc_id", "lang", "order").distinct(), "language-sample")
     # A repeated doc_id may bring more rows again.
     sample = rows.select("doc_id", "lang", "text").join(drawn, ["doc_id", "lang"]).withColumn("place", place).filter(F.col("place") <= per_lang)
     found = sample.select("text", "lang", "order").coalesce(1).mapInArrow(_fit_rows, "langs array<string>, weights binary, bias array<double>, temperature double").first()
