@@ -90,8 +90,10 @@ mean AS (SELECT match_id, tracklet_id, pos, avg(v) FILTER (head) AS h, avg(v) FI
 
 
 def features(t):
+    from matchloom.sources.io import materialize
+
     keys = ["match_id", "tracklet_id"]
-    r = kept(t)
+    r = materialize(kept(t), "tracklet-rows")
     motion = tracklets.motion_features(r, keys)
     vectors = tracklets.mean_vectors(r, keys, t.file("embeddings").select("vec_id", "embedding"))
     return motion.join(vectors, keys, "left").join(r.select(*keys, "class").distinct(), keys)
