@@ -172,6 +172,23 @@ def test_fuzzy_lines(spark, odd, empty):
     assert len(lines.dedup_lines(odd).collect()) == len(ODD) and lines.dedup_lines(empty).collect() == []
 
 
+def test_fuzzy_lines_find_edited_lines(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 10)))
+    texts = []
+    for i in range(150):
+        words = [word() for _ in range((5, 8, 12, 20, 40)[i % 5])]
+        texts.append(" ".join(words))
+        for at in rng.sample(range(len(words)), max(1, len(words) * (i % 4) // 20)):
+            words[at] = words[at][:-1] + "zq" if i % 3 else word()
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    pairs = df.alias("a").join(df.alias("b"), F.expr("a.id < b.id and levenshtein(a.t, b.t) <= floor(0.2D * greatest(length(a.t), length(b.t)))"))
+    want = {r.b for r in pairs.select(F.col("b.id").alias("b")).collect()}
+    got = {r.doc_id for r in lines.dedup_lines(table(spark, list(enumerate(texts)))).filter("n_removed > 0").collect()}
+    assert len(want) > 120 and got <= want and len(got) >= 0.97 * len(want)
+
+
 def test_line_simhash(spark):
     texts = ["one three seven", "x", " ".join(f"w{i:04}" for i in range(700)), "same " * 300 + "other", "a bc def"]
     df = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts * 2)], "h1 long, h2 long, normal string")
