@@ -189,6 +189,18 @@ def test_fuzzy_lines_find_edited_lines(spark):
     assert len(want) > 120 and got <= want and len(got) >= 0.97 * len(want)
 
 
+def test_fuzzy_lines_beyond_ascii(spark):
+    plain = 'he said "it is - all in all - so" and we go on'
+    curly = "he\u00a0said \u201cit is \u2014 all in all \u2014 so\u201d and we go on"
+    assert len({r.n for r in table(spark, [(1, plain), (2, curly)]).select(lines.normalise(F.col("text")).alias("n")).collect()}) == 1
+    marks = [r.n for r in table(spark, [(1, "\u0915\u0940"), (2, "\u0915\u093e")]).select(lines.normalise(F.col("text")).alias("n")).collect()]
+    assert marks == ["\u0915\u0940", "\u0915\u093e"]
+    short = "an ox is in a bog up to its jaw so we go"
+    wide = "".join(chr(0x4E00 + 37 * i) for i in range(30))
+    rows = [(1, short), (2, short.replace("bog", "bag")), (3, wide), (4, wide[:11] + "\u4e01" + wide[12:]), (5, "".join(chr(0x5000 + 41 * i) for i in range(30)))]
+    assert {r.doc_id for r in lines.dedup_lines(table(spark, rows)).filter("n_removed > 0").collect()} == {2, 4}
+
+
 def test_line_simhash(spark):
     texts = ["one three seven", "x", " ".join(f"w{i:04}" for i in range(700)), "same " * 300 + "other", "a bc def"]
     df = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts * 2)], "h1 long, h2 long, normal string")
