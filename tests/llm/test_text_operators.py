@@ -201,6 +201,17 @@ def test_fuzzy_lines_beyond_ascii(spark):
     assert {r.doc_id for r in lines.dedup_lines(table(spark, rows)).filter("n_removed > 0").collect()} == {2, 4}
 
 
+def test_edit_similarity_of_long_lines(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    words = [word(20 if i % 7 == 0 else 4) for i in range(400)]
+    longest = [word(20) if len(w) == 20 else w for w in words]
+    typos = [w[:-1] + "_" if i % 3 == 0 else w for i, w in enumerate(words)]
+    pairs = spark.createDataFrame([(1, 2, " ".join(words), " ".join(longest)), (1, 3, " ".join(words), " ".join(typos))], "a_id long, b_id long, a_text string, b_text string")
+    want = {r.b_id for r in pairs.filter("levenshtein(a_text, b_text) <= floor(0.2D * greatest(length(a_text), length(b_text)))").collect()}
+    assert want == {3} == {r.b_id for r in lines.edit_similar(pairs, 0.8).collect()}
+
+
 def test_line_simhash(spark):
     texts = ["one three seven", "x", " ".join(f"w{i:04}" for i in range(700)), "same " * 300 + "other", "a bc def"]
     df = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts * 2)], "h1 long, h2 long, normal string")
