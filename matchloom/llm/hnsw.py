@@ -2,7 +2,7 @@
 
 Vectors of a shard are inserted in batches into layered neighbour graphs; many queries walk a graph
 side by side. Every vector queries every shard. The beam is doubled until an audit against brute
-force passes, and again for each query whose whole beam links. Every reported pair is checked in
+force passes, and again for each query whose whole beam links; if none passes, all is brute force. Every reported pair is checked in
 double precision.
 """
 
@@ -210,6 +210,17 @@ def _load(blob: bytes):
     return unit, graph, rep, h1, m
 
 
+def _exact(unit, queries, threshold) -> list[np.ndarray]:
+    """Positions within the threshold by brute force, in blocks of queries and vectors."""
+    out = []
+    for at in range(0, len(queries), 1024):
+        part = [np.nonzero(queries[at : at + 1024] @ unit[i : i + 16384].T >= threshold - SLACK) for i in range(0, len(unit), 16384)]
+        a, b = np.concatenate([p[0] for p in part]), np.concatenate([p[1] + 16384 * k for k, p in enumerate(part)])
+        order = np.argsort(a, kind="stable")
+        out += np.split(b[order], np.searchsorted(a[order], np.arange(1, min(1024, len(queries) - at))))
+    return out
+
+
 def _checked(unit, queries, found, threshold):
     """(query, position) of the found pairs whose cosine reaches the threshold in double precision."""
     a = np.repeat(np.arange(len(found)), [len(f) for f in found])
@@ -228,7 +239,8 @@ def _query(threshold: float, beam: int, graphs: pa.Table, queries: pa.Table) ->
         return schema.empty_table()
     unit, graph, rep, h1, m = _load(graphs["graph"][0].as_py())
     q, qrep, qh1 = _matrix(queries["v"]), np.asarray(queries["rep"]), np.asarray(queries["h1"])
-    a, b = _checked(unit, q, graph.within(q.astype(np.float32), threshold - SLACK, beam), threshold)
+    found = graph.within(q.astype(np.float32), threshold - SLACK, beam) if beam else _exact(unit, q, threshold)
+    a, b = _checked(unit, q, found, threshold)
     other = (qrep[a] != rep[b]) | (qh1[a] != h1[b])
     a, b = a[other], b[other]
     links = np.bincount(a, weights=m[b], minlength=len(q)).astype(np.int64)
@@ -243,14 +255,27 @@ def _query(threshold: float, beam: int, graphs: pa.Table, queries: pa.Table) ->
 
 
 def _audit(threshold: float, graphs: pa.Table, queries: pa.Table) -> pa.Table:
-    """Links found with each beam, and by brute force, for the audit queries in one shard."""
+    """For each beam and audit query the links to others found in one shard, and those by brute force."""
     rows = []
     if graphs.num_rows and queries.num_rows:
-        unit, graph, *_ = _load(graphs["graph"][0].as_py())
-        q = _matrix(queries["v"])
-        exact = sum(int((q @ unit[i : i + 65536].T >= threshold).sum()) for i in range(0, len(unit), 65536))
-        rows = [(b, len(_checked(unit, q, graph.within(q.astype(np.float32), threshold - SLACK, b), threshold)[0]), exact) for b in BEAMS]
-    return pa.table([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["beam", "found", "exact"])
+        unit, graph, rep, h1, _ = _load(graphs["graph"][0].as_py())
+        q, qrep, qh1 = _matrix(queries["v"]), np.asarray(queries["rep"]), np.asarray(queries["h1"])
+
+        def links(found):
+            a, b = _checked(unit, q, found, threshold)
+            return np.bincount(a[(qrep[a] != rep[b]) | (qh1[a] != h1[b])], minlength=len(q))
+
+        exact = links(_exact(unit, q, threshold))
+        if exact.any():
+            rows = [(beam, *x) for beam in BEAMS for x in zip(qrep, qh1, links(graph.within(q.astype(np.float32), threshold - SLACK, beam)), exact)]
+    return pa.table([pa.array([int(r[i]) for r in rows], pa.int64()) for i in range(5)], names=["beam", "rep", "h1", "found", "exact"])
+
+
+def passing(recall, target: float) -> int:
+    """The smallest beam whose recall of (beam, pooled, mean) reaches the target both over all links and
+    as the mean of the queries that have links; 0 (brute force) if there is none."""
+    good = {r["beam"] for r in recall if r["pooled"] >= target and r["mean"] >= target}
+    return (min(good) if good else 0) if recall else BEAMS[0]
 
 
 def usable(vector) -> F.Column:
@@ -277,11 +302,10 @@ def near_embeddings(rows: DataFrame, threshold: float = THRESHOLD, shards: int =
     reps = reps.withColumn("shard", F.concat_ws(":", "d", F.pmod("h2", F.lit(parts))))
     graphs = materialize(reps.select("shard", "rep", "h1", "m", "v").groupBy("shard").applyInArrow(lambda t: _build(t), "shard string, graph binary"), "hnsw-graphs")
     everywhere = F.explode(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda s: F.concat_ws(":", "d", s)))
-    sample = reps.orderBy(F.xxhash64("h1", "rep")).limit(AUDIT_QUERIES).withColumn("shard", everywhere).select("shard", "v")
-    audit = graphs.groupBy("shard").cogroup(sample.groupBy("shard")).applyInArrow(lambda g, q: _audit(threshold, g, q), "beam long, found long, exact long")
-    recall = {r.beam: r.found / r.exact for r in audit.groupBy("beam").agg(F.sum("found").alias("found"), F.sum("exact").alias("exact")).collect() if r.exact}
-    # Where even the widest beam misses the target, a beam as wide as a shard is exhaustive.
-    beam = next((b for b in BEAMS if recall.get(b, 1.0) >= target), shard_rows)
+    sample = reps.orderBy(F.xxhash64("h1", "rep")).limit(AUDIT_QUERIES).withColumn("shard", everywhere).select("shard", "rep", "h1", "v")
+    audit = graphs.groupBy("shard").cogroup(sample.groupBy("shard")).applyInArrow(lambda g, q: _audit(threshold, g, q), "beam long, rep long, h1 long, found long, exact long")
+    audit = audit.groupBy("beam", "rep", "h1").agg(F.sum("found").alias("found"), F.sum("exact").alias("exact")).filter("exact > 0")
+    beam = passing(audit.groupBy("beam").agg((F.sum("found") / F.sum("exact")).alias("pooled"), F.avg(F.col("found") / F.col("exact")).alias("mean")).collect(), target)
     blocks = max(1, -(-n // BLOCK_ROWS))
     queries = reps.withColumn("block", F.pmod("h1", F.lit(blocks))).withColumn("shard", everywhere).select("shard", "block", "rep", "h1", "v")
     placed = graphs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))

@@ -346,6 +346,27 @@ def test_embeddings(spark, sf):
     assert hnsw.near_embeddings(df.limit(0)).collect() == []
 
 
+def pack(unit, rep):
+    import pyarrow as pa
+
+    rep = np.array(rep)
+    ids = pa.array(rep)
+    shard = pa.table({"shard": ["x"] * len(rep), "rep": ids, "h1": ids, "m": [1] * len(rep), "v": pa.array(unit.tolist())})
+    return hnsw._build(shard), shard
+
+
+def test_embedding_audit(monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(100, 16))
+    graphs, rows = pack(np.concatenate([base, base[:10] + 0.01]), range(110))
+    monkeypatch.setattr(hnsw.Graph, "within", lambda self, q, least, beam: [np.array([row.argmax()]) for row in q @ self.vectors.T])
+    audit = hnsw._audit(0.95, graphs, rows).to_pydict()
+    assert sum(audit["exact"]) == 20 * len(hnsw.BEAMS) and sum(audit["found"]) < sum(audit["exact"])
+    assert hnsw.passing([{"beam": 64, "pooled": 1.0, "mean": 0.9}, {"beam": 128, "pooled": 0.9, "mean": 1.0}], 0.99) == 0
+    assert hnsw.passing([{"beam": 64, "pooled": 1.0, "mean": 1.0}, {"beam": 128, "pooled": 1.0, "mean": 1.0}], 0.99) == 64
+    assert np.sum(hnsw._query(0.95, 0, graphs, rows)["links"].drop_null().to_numpy()) == 20
+
+
 # 8: languages
 
 
