@@ -248,3 +248,14 @@ def test_load_or_build(spark, tmp_path):
 def test_empty_events(spark):
     e = passes.pass_events(ball_table(spark, [], 20), dim(spark, t1=0), CFG)
     assert e.count() == 0 and passes.team_stats(e).columns == ["match_id", "passer_team", "completed", "failed", "attempted", "completion_pct"]
+
+
+def test_frame_spine_reads_all_rows(spark, monkeypatch):
+    import matchloom.plans.vision_queries  # noqa: F401
+    from matchloom.plans import registry
+    from matchloom.sources import fixtures
+
+    ev = spark.createDataFrame([(1, 0), (1, 3), (1, 7), (2, 2)], "match_id long, frame_idx long")
+    monkeypatch.setattr(fixtures, "table", lambda spark, sf_dir, name: ev)
+    got = {(r.match_id, r.frame_idx) for r in registry.QUERIES["s06_frame_spine"](spark, "").collect()}
+    assert got == {(1, i) for i in range(8)} | {(2, i) for i in range(3)}
