@@ -51,7 +51,7 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-SIEVE_BITS, PAGE = 1 << 23, 1 << 15
+SIEVE_BITS, PAGE = 1 << 23, 512
 
 
 def sieve(rows: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:
@@ -61,11 +61,11 @@ def sieve(rows: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:
     can be broadcast. It saves a shuffle of rows without a partner; a full one only saves nothing.
     """
     spot = F.pmod(F.xxhash64(*key), F.lit(SIEVE_BITS))
-    pages = wanted.select(spot.alias("_spot")).groupBy(F.floor(F.col("_spot") / PAGE).alias("_page")).agg(F.bitmap_construct_agg(F.col("_spot") % PAGE).alias("_bits"))
-    at = rows.withColumn("_spot", spot).withColumn("_page", F.floor(F.col("_spot") / PAGE)).join(F.broadcast(pages), "_page", "left")
-    byte = F.conv(F.hex(F.expr(f"substring(_bits, cast(_spot % {PAGE} div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hit = F.expr("cast(_spot % 8 as int)")
-    return at.withColumn("_maybe", F.coalesce(F.call_function("getbit", byte, hit) == 1, F.lit(False))).drop("_spot", "_page", "_bits")
+    hits = wanted.select(spot.alias("_spot")).selectExpr("_spot div 64 as _word", "shiftleft(1L, cast(_spot % 64 as int)) as _bits")
+    words = hits.unionByName(rows.sparkSession.range(SIEVE_BITS // 64).selectExpr("id as _word", "0L as _bits")).groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+    pages = words.groupBy(F.expr(f"_word div {PAGE}").alias("_page")).agg(F.array_sort(F.collect_list(F.struct("_word", "_bits"))).alias("_words")).selectExpr("_page", "_words._bits as _bits")
+    at = rows.withColumn("_spot", spot).withColumn("_page", F.expr(f"_spot div {64 * PAGE}")).join(F.broadcast(pages), "_page", "left")
+    return at.withColumn("_maybe", F.expr(f"shiftrightunsigned(get(_bits, cast(_spot div 64 % {PAGE} as int)), cast(_spot % 64 as int)) & 1L = 1L")).drop("_spot", "_page", "_bits")
 
 
 SALTS = 8
@@ -83,25 +83,27 @@ def _star(pairs: DataFrame, larger: bool) -> DataFrame:
     return hung.select(F.inline(both))
 
 
+def _is_forest(pairs: DataFrame) -> bool:
+    """Whether no node of (u, v) has two neighbours v, or is a u and a v."""
+    ends = pairs.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(pairs.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up = 1 and down = 1").isEmpty()
+
+
 def connected_components(links: DataFrame, label: str = "components") -> DataFrame:
     """(node, component) for every node in the link table (a, b); component is the smallest node.
 
     Alternating large-star and small-star contractions: every step keeps connectivity, the links
     only get fewer, and a fixed point is a forest of stars whose centres are the minima. Each step
-    is a written table in the shared folder; nothing but two figures comes to the driver. Links with
+    is a written table in the shared folder; nothing of them comes to the driver. Links with
     a null end and links to oneself are ignored; an empty table gives an empty result.
     """
     tidy = lambda df: df.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    figures = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
     now = materialize(tidy(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), label)
-    seen = figures(now)
-    while seen[0]:
+    while not _is_forest(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = tidy(_star(both, larger=True))
         later = materialize(tidy(_star(large, larger=False)), label)
         release(now)
-        now, before, seen = later, seen, figures(later)
-        if before == seen:
-            break
+        now = later
     centres = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(centres.select("node", F.col("node").alias("component")))

@@ -214,11 +214,49 @@ def test_edit_similarity_of_long_lines(spark):
 
 def test_line_simhash(spark):
     texts = ["one three seven", "x", " ".join(f"w{i:04}" for i in range(700)), "same " * 300 + "other", "a bc def"]
-    df = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts * 2)], "h1 long, h2 long, normal string")
-    got = {r.h1: r.fp & (2**64 - 1) for r in lines.prints(df).collect()}
-    for i, t in enumerate(texts * 2):
-        hs = [xxhash.xxh64_intdigest(w.encode(), 42) for w in t.split(" ") if len(w) >= lines.LONG_WORD]
-        assert got.get(i) == (sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) if hs else None)
+    df = spark.createDataFrame([(i, len(t), t) for i, t in enumerate(texts)], "id long, chars int, normal string")
+    rows = {r.mark: r for r in lines.fingerprints(df).collect()}
+    for i, t in enumerate(texts):
+        hs = [xxhash.xxh64_intdigest(w.encode(), 42) for w in t.split(" ") if len(w.encode()) >= lines.LONG_WORD]
+        assert (rows[i].fp & (2**64 - 1) if i in rows else None) == (sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) if hs else None)
+    assert all(len(r["keys"]) == lines.BANDS[0] for r in rows.values())
+
+
+def test_fuzzy_lines_recall_over_all_pairs(spark, sf):
+    """Registered settings against edit similarity over all pairs of lines of the table."""
+    texts = documents(spark, sf).select(F.explode(F.split("text", "\n")).alias("line")).select(lines.normalise(F.col("line")).alias("t"))
+    texts = texts.filter(F.length("t") >= lines.MIN_CHARS).distinct().select(F.xxhash64("t").alias("id"), "t", F.length("t").alias("n"))
+    df = spark.createDataFrame(texts.collect(), texts.schema).repartition(8).cache()
+    pairs = df.alias("a").join(df.alias("b"), F.expr("a.n <= b.n and a.id <> b.id and b.n - a.n <= floor(0.2D * b.n) and levenshtein(a.t, b.t, cast(floor(0.2D * b.n) as int)) >= 0"))
+    want = {tuple(sorted(r)) for r in pairs.selectExpr("a.t as x", "b.t as y").collect()}
+    ids = {t: i for i, t in enumerate(sorted({x for p in want for x in p}))}
+    rows = spark.createDataFrame([(i, len(t), t, i) for t, i in ids.items()], "line long, chars int, normal string, h1 long").withColumn("h2", F.col("h1"))
+    group = {r.node: r.component for r in lines.similar_lines(rows, rows.selectExpr("h1", "h2", "line as id", "1L as n"), lines.DISTANCE, lines.SIMILARITY).collect()}
+    found = sum(group.get(ids[x], -1) == group.get(ids[y], -2) for x, y in want)
+    assert len(want) > 30 and found >= 0.95 * len(want)
+
+
+def test_fuzzy_lines_keep_one_of_equal_rows(spark):
+    line, other = "a line that three rows without an id have", "one more line of the same three documents"
+    rows = [(None, f"{line}\n{other}")] * 3 + [(7, line), (8, "x\n" + other.replace("more", "mere")), (9, "y"), (9, "y")]
+    out = lines.dedup_lines(table(spark, rows)).collect()
+    assert sorted(r.text for r in out if r.doc_id is None) == ["", "", f"{line}\n{other}"]
+    assert sorted((r.text, r.n_removed) for r in out if r.doc_id) == [("", 1), ("x", 1), ("y", 0), ("y", 0)]
+
+
+def test_fuzzy_lines_all_lengths_and_words(spark):
+    """min_chars 0 takes in short lines, which words of any length tell apart."""
+    rows = [(1, "ab cd\nx"), (2, "ab cd\n\nx"), (3, "ab ce fg hi"), (4, "ab ce fg hx")]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(table(spark, rows), min_chars=0).collect()}
+    assert got == {1: "ab cd\nx", 2: "", 3: "ab ce fg hi", 4: ""}
+
+
+def test_sketches_agree(spark):
+    rows = [tuple(random.Random(i).getrandbits(63) for _ in range(lines.HASHES)) for i in range(2)]
+    rows[1] = tuple(a if i % 3 == 0 else b for i, (a, b) in enumerate(zip(*rows)))
+    df = spark.createDataFrame(rows, ", ".join(f"m{i} long" for i in range(lines.HASHES))).select(lines._sketch())
+    got = {r.n for r in df.select(F.col("sketch").alias("a")).join(df.select(F.col("sketch").alias("b"))).select(lines._agreeing("a", "b").alias("n")).collect()}
+    assert got == {lines.HASHES, sum((x ^ y) & 255 == 0 for x, y in zip(*rows))}
 
 
 def test_sieve(spark):
