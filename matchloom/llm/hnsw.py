@@ -1,9 +1,10 @@
 """Near-duplicate embeddings by hierarchical navigable small-world graphs, one a shard.
 
 Vectors of a shard are inserted in batches into layered neighbour graphs; many queries walk a graph
-side by side. Every vector queries every shard. The beam is doubled until an audit against brute
-force passes, and again for each query whose whole beam links; if none passes, all is brute force. Every reported pair is checked in
-double precision.
+side by side. Every vector queries every shard: a task holds two shards, whose vectors query the other's
+graph, so that a pair counts for both if either search finds it. The beam is doubled until an audit
+against brute force passes; if none passes, all is brute force. A vector with more links than FULL in a
+shard is compared with all of the shard. Every reported pair is checked in double precision.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ NEIGHBOURS = 16
 BUILD_BEAM = 64
 BEAMS = (32, 64, 128, 256, 512, 1024)
 TARGET_RECALL = 0.99
-#: At least so many shards; more where a shard would hold more than SHARD_ROWS vectors.
-SHARDS, SHARD_ROWS = 8, 200_000
-BLOCK_ROWS = 20_000
-AUDIT_QUERIES = 500
+#: At least so many shards; more where one would hold more than SHARD_ROWS vectors or SHARD_BYTES.
+SHARDS, SHARD_ROWS, SHARD_BYTES = 8, 50_000, 128 << 20
+#: Vectors asked in the audit, and how many of them must have links for it to tell anything.
+AUDIT_QUERIES, AUDIT_LINKED = 2000, 20
+#: Links in one shard from which a vector's own are counted by brute force.
+FULL = 256
 STEP = 4
 VISITED = 32 << 20
 SLACK = 1e-4
@@ -163,24 +166,26 @@ class Graph:
             at = ids[np.arange(len(ids)), sims.argmax(axis=1)]
         return at
 
-    def within(self, queries: np.ndarray, least: float, beam: int) -> list[np.ndarray]:
-        """Positions of similarity ``least`` or more; a beam that is full of them is doubled."""
+    def within(self, queries: np.ndarray, least: float, beam: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """Positions of similarity ``least`` or more, and which queries have more than FULL of them. A
+        beam that is full of them is doubled until then."""
         *upper, base = self.layers
         at = np.zeros(len(queries), dtype=np.int64)
         for layer in upper:
             ids, sims = layer.search(queries, at, 4)
             at = ids[np.arange(len(ids)), sims.argmax(axis=1)]
-        out = [np.empty(0, np.int64)] * len(queries)
+        out, many = [np.empty(0, np.int64)] * len(queries), np.zeros(len(queries), bool)
         todo = np.arange(len(queries))
         while len(todo):
             beam = min(beam, base.size)
             ids, sims = base.search(queries[todo], at[todo], beam)
             linked = sims >= least
-            full = linked.all(axis=1) & (beam < base.size)
-            for k in np.flatnonzero(~full):
+            many[todo] = linked.sum(axis=1) > FULL
+            full = linked.all(axis=1) & (beam < base.size) & ~many[todo]
+            for k in np.flatnonzero(~full & ~many[todo]):
                 out[todo[k]] = ids[k][linked[k]]
             todo, beam = todo[full], 2 * beam
-        return out
+        return out, many
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -195,7 +200,7 @@ def _build(table: pa.Table) -> pa.Table:
     unit = _matrix(table["v"])
     graph = Graph(unit.astype(np.float32))
     blob = pickle.dumps((unit, [x.links for x in graph.layers], *(np.asarray(table[c]) for c in ("rep", "h1", "m"))), protocol=5)
-    return pa.table([table["shard"][:1], pa.array([blob], pa.binary())], names=["shard", "graph"])
+    return pa.table([table["d"][:1], table["parts"][:1], table["shard"][:1], pa.array([blob], pa.binary())], names=["d", "parts", "shard", "graph"])
 
 
 def _load(blob: bytes):
@@ -232,50 +237,121 @@ def _checked(unit, queries, found, threshold):
 _LINKS = "rep long, h1 long, links long, a long, b long"
 
 
-def _query(threshold: float, beam: int, graphs: pa.Table, queries: pa.Table) -> pa.Table:
-    """For each query the number of vectors linked in this shard, and spanning links of all pairs."""
-    schema = pa.schema([(c, pa.int64()) for c in ("rep", "h1", "links", "a", "b")])
-    if not graphs.num_rows or not queries.num_rows:
-        return schema.empty_table()
-    unit, graph, rep, h1, m = _load(graphs["graph"][0].as_py())
-    q, qrep, qh1 = _matrix(queries["v"]), np.asarray(queries["rep"]), np.asarray(queries["h1"])
-    found = graph.within(q.astype(np.float32), threshold - SLACK, beam) if beam else _exact(unit, q, threshold)
-    a, b = _checked(unit, q, found, threshold)
-    other = (qrep[a] != rep[b]) | (qh1[a] != h1[b])
-    a, b = a[other], b[other]
-    links = np.bincount(a, weights=m[b], minlength=len(q)).astype(np.int64)
-    some = np.flatnonzero(links)
-    ids, nodes = np.unique(np.concatenate([qrep[a], rep[b]]), return_inverse=True)
-    label = roots(len(ids), nodes[: len(a)], nodes[len(a) :])
-    tied = np.flatnonzero(label != np.arange(len(ids)))
+class _Tally:
+    """Links of two shards: weighted counts for both, and labels of what hangs together."""
+
+    def __init__(self, left: int, right: int, own: bool):
+        self.counts = np.zeros(left, np.int64), np.zeros(right, np.int64)
+        self.label, self.left = np.r_[np.arange(left), np.arange(right) + (0 if own else left)], left
+
+    def tie(self, a: np.ndarray, b: np.ndarray) -> None:
+        a, b = self.label[a], self.label[self.left + b]
+        differ = a != b
+        pairs = np.unique(np.stack([a[differ], b[differ]]), axis=1)
+        if pairs.shape[1]:
+            self.label = roots(len(self.label), pairs[0], pairs[1])[self.label]
+
+
+def _exact_rows(rows: np.ndarray, unit: np.ndarray, threshold: float):
+    """(row, position) of all pairs of the given rows by brute force, in blocks of bounded size."""
+    for at in range(0, len(rows), 256):
+        for i in range(0, len(unit), 8192):
+            a, b = np.nonzero(rows[at : at + 256] @ unit[i : i + 8192].T >= threshold - SLACK)
+            good = np.einsum("kd,kd->k", rows[at + a], unit[i + b]) >= threshold
+            yield at + a[good], i + b[good]
+
+
+def _links(threshold: float, beam: int, table: pa.Table) -> pa.Table:
+    """The links between the vectors of two shards (one with itself, if the table has one row): for each
+    vector the number of vectors linked, and spanning links. Pairs of vectors are kept only while there
+    are FULL or fewer of a vector; the others come from brute force, block by block."""
+    shards = [_load(g.as_py()) for g in table["graph"]]
+    (lu, lg, lrep, lh, lm), (ru, rg, rrep, rh, rm) = shards[0], shards[-1]
+    own = len(shards) == 1
+    tally = _Tally(len(lu), len(ru), own)
+
+    def search(queries, graph):
+        if not beam:
+            return [np.empty(0, np.int64)] * len(queries), np.ones(len(queries), bool)
+        return graph.within(queries.astype(np.float32), threshold - SLACK, beam)
+
+    def count(a, b, left=True, right=True):
+        if own:
+            a, b = a[a != b], b[a != b]
+        if left:
+            tally.counts[0][:] += np.bincount(a, weights=rm[b], minlength=len(lu)).astype(np.int64)
+        if right:
+            tally.counts[1][:] += np.bincount(b, weights=lm[a], minlength=len(ru)).astype(np.int64)
+        tally.tie(a, b)
+
+    found, hot = search(lu, rg)
+    back, hot_back = (found, hot) if own else search(ru, lg)
+    code = []
+    for lists, flip in ((found, False), (back, True)):
+        a, b = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate([*lists, np.empty(0, np.int64)]).astype(np.int64)
+        a, b = (b, a) if flip else (a, b)
+        ok = ~hot[a] & ~hot_back[b]
+        code.append(a[ok] * len(ru) + b[ok])
+    code = np.unique(np.concatenate(code))
+    for at in range(0, len(code), 1 << 18):
+        a, b = np.divmod(code[at : at + (1 << 18)], len(ru))
+        good = np.einsum("kd,kd->k", lu[a], ru[b]) >= threshold
+        count(a[good], b[good], right=not own)
+    for a, b in _exact_rows(lu[hot], ru, threshold):
+        a = np.flatnonzero(hot)[a]
+        # A hot vector of one shard meets every other hot one from both sides.
+        count(a, b, right=False)
+        rest = ~hot[b] if own else np.ones(len(b), bool)
+        if own:
+            tally.counts[0][:] += np.bincount(b[rest], weights=lm[a[rest]], minlength=len(lu)).astype(np.int64)
+        else:
+            tally.counts[1][:] += np.bincount(b, weights=lm[a], minlength=len(ru)).astype(np.int64)
+    if not own:
+        for b, a in _exact_rows(ru[hot_back], lu, threshold):
+            b = np.flatnonzero(hot_back)[b]
+            rest = ~hot[a]
+            count(a[rest], b[rest])
+    # Equal vectors are one vector; a shard has each once, so only counts of others are here.
+    sides = [(lrep, lh, tally.counts[0])] + ([] if own else [(rrep, rh, tally.counts[1])])
+    rep, h1, links = (np.concatenate([side[i] for side in sides]) for i in range(3))
+    some, every = links > 0, np.r_[lrep, rrep]
+    tied = np.flatnonzero(tally.label[: len(rep)] != np.arange(len(rep)))
     none = lambda n: pa.nulls(n, pa.int64())
-    counts = pa.table([pa.array(qrep[some]), pa.array(qh1[some]), pa.array(links[some]), none(len(some)), none(len(some))], schema=schema)
-    ties = pa.table([none(len(tied)), none(len(tied)), none(len(tied)), pa.array(ids[tied]), pa.array(ids[label[tied]])], schema=schema)
+    schema = pa.schema([(c, pa.int64()) for c in ("rep", "h1", "links", "a", "b")])
+    counts = pa.table([pa.array(rep[some]), pa.array(h1[some]), pa.array(links[some]), none(some.sum()), none(some.sum())], schema=schema)
+    ties = pa.table([none(len(tied)), none(len(tied)), none(len(tied)), pa.array(every[tied]), pa.array(every[tally.label[tied]])], schema=schema)
     return pa.concat_tables([counts, ties])
 
 
 def _audit(threshold: float, graphs: pa.Table, queries: pa.Table) -> pa.Table:
-    """For each beam and audit query the links to others found in one shard, and those by brute force."""
+    """For each beam and audit query the links to others found in one shard, and those by brute force.
+    Once a beam finds all links, larger ones are not tried."""
     rows = []
     if graphs.num_rows and queries.num_rows:
         unit, graph, rep, h1, _ = _load(graphs["graph"][0].as_py())
         q, qrep, qh1 = _matrix(queries["v"]), np.asarray(queries["rep"]), np.asarray(queries["h1"])
 
-        def links(found):
+        def links(found, many=None):
             a, b = _checked(unit, q, found, threshold)
-            return np.bincount(a[(qrep[a] != rep[b]) | (qh1[a] != h1[b])], minlength=len(q))
+            n = np.bincount(a[(qrep[a] != rep[b]) | (qh1[a] != h1[b])], minlength=len(q))
+            return n if many is None else np.where(many, exact, n)
 
         exact = links(_exact(unit, q, threshold))
-        if exact.any():
-            rows = [(beam, *x) for beam in BEAMS for x in zip(qrep, qh1, links(graph.within(q.astype(np.float32), threshold - SLACK, beam)), exact)]
+        found = np.zeros_like(exact)
+        for beam in BEAMS if exact.any() else ():
+            if (found < exact).any():
+                found = links(*graph.within(q.astype(np.float32), threshold - SLACK, beam))
+            rows += [(beam, *x) for x in zip(qrep, qh1, found, exact) if x[3]]
     return pa.table([pa.array([int(r[i]) for r in rows], pa.int64()) for i in range(5)], names=["beam", "rep", "h1", "found", "exact"])
 
 
 def passing(recall, target: float) -> int:
-    """The smallest beam whose recall of (beam, pooled, mean) reaches the target both over all links and
-    as the mean of the queries that have links; 0 (brute force) if there is none."""
-    good = {r["beam"] for r in recall if r["pooled"] >= target and r["mean"] >= target}
-    return (min(good) if good else 0) if recall else BEAMS[0]
+    """The smallest beam whose recall of (beam, pooled, mean, n) reaches the target both over all links and
+    as the mean of the queries that have links; 0 (brute force) if there is none. The largest beam where
+    too few queries have links for a verdict."""
+    enough = [r for r in recall if r["n"] >= AUDIT_LINKED]
+    good = {r["beam"] for r in enough if r["pooled"] >= target and r["mean"] >= target}
+    return (min(good) if good else 0) if enough else BEAMS[-1]
 
 
 def usable(vector) -> F.Column:
@@ -296,22 +372,24 @@ def near_embeddings(rows: DataFrame, threshold: float = THRESHOLD, shards: int =
     rows = rows.withColumn("ok", usable(F.col("v")) & F.col("vec_id").isNotNull()).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")})
     reps = rows.filter("ok").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.first("v").alias("v"))
     reps = materialize(reps.withColumn("d", F.size("v")), "hnsw-vectors")
-    n = reps.count()
-    parts = max(shards, -(-n // shard_rows))
-    # The length is part of the key of a shard; h2 deals the vectors of one length out.
-    reps = reps.withColumn("shard", F.concat_ws(":", "d", F.pmod("h2", F.lit(parts))))
-    graphs = materialize(reps.select("shard", "rep", "h1", "m", "v").groupBy("shard").applyInArrow(lambda t: _build(t), "shard string, graph binary"), "hnsw-graphs")
-    everywhere = F.explode(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda s: F.concat_ws(":", "d", s)))
-    sample = reps.orderBy(F.xxhash64("h1", "rep")).limit(AUDIT_QUERIES).withColumn("shard", everywhere).select("shard", "rep", "h1", "v")
-    audit = graphs.groupBy("shard").cogroup(sample.groupBy("shard")).applyInArrow(lambda g, q: _audit(threshold, g, q), "beam long, rep long, h1 long, found long, exact long")
-    audit = audit.groupBy("beam", "rep", "h1").agg(F.sum("found").alias("found"), F.sum("exact").alias("exact")).filter("exact > 0")
-    beam = passing(audit.groupBy("beam").agg((F.sum("found") / F.sum("exact")).alias("pooled"), F.avg(F.col("found") / F.col("exact")).alias("mean")).collect(), target)
-    blocks = max(1, -(-n // BLOCK_ROWS))
-    queries = reps.withColumn("block", F.pmod("h1", F.lit(blocks))).withColumn("shard", everywhere).select("shard", "block", "rep", "h1", "v")
-    placed = graphs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    found = placed.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInArrow(lambda g, q: _query(threshold, beam, g, q), _LINKS)
-    found = materialize(found, "hnsw-links")
-    groups = connected_components(found.filter("a is not null").select("a", "b"), "hnsw-components")
+    # Shards of vectors of one length, each bounded in rows and bytes; h2 deals the vectors out.
+    most = F.greatest(F.lit(1), F.least(F.lit(shard_rows), F.floor(SHARD_BYTES / (8 * F.col("d") + 8 * NEIGHBOURS))))
+    sizes = reps.groupBy("d").count().withColumn("parts", F.greatest(F.lit(shards), F.ceil(F.col("count") / most))).select("d", "parts")
+    reps = reps.join(sizes, "d").withColumn("shard", F.pmod("h2", F.col("parts")))
+    graphs = materialize(reps.select("d", "parts", "shard", "rep", "h1", "m", "v").groupBy("d", "shard").applyInArrow(lambda t: _build(t), "d int, parts long, shard long, graph binary"), "hnsw-graphs")
+    everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    sample = reps.orderBy(F.xxhash64("h1", "rep")).limit(AUDIT_QUERIES).withColumn("shard", everywhere).select("d", "shard", "rep", "h1", "v")
+    audit = graphs.groupBy("d", "shard").cogroup(sample.groupBy("d", "shard")).applyInArrow(lambda g, q: _audit(threshold, g, q), "beam long, rep long, h1 long, found long, exact long")
+    audit = audit.groupBy("beam", "rep", "h1").agg(F.sum("found").alias("found"), F.sum("exact").alias("exact"))
+    recall = audit.groupBy("beam").agg((F.sum("found") / F.sum("exact")).alias("pooled"), F.avg(F.col("found") / F.col("exact")).alias("mean"), F.count("*").alias("n"))
+    beam = passing(recall.collect(), target)
+    cells = graphs.withColumn("other", everywhere).select("d", F.least("shard", "other").alias("low"), F.greatest("shard", "other").alias("high"), "graph")
+    found = materialize(cells.groupBy("d", "low", "high").applyInArrow(lambda t: _links(threshold, beam, t), _LINKS), "hnsw-links")
+    # A repeated vec_id ties the vectors that it stands for.
+    named = rows.filter("ok").select("vec_id", "h1", "h2").join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).select("vec_id", "rep").distinct()
+    again = named.groupBy("vec_id").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).filter("b < last").select("vec_id", "b")
+    ties = found.filter("a is not null").select("a", "b").unionByName(named.join(again, "vec_id").select(F.col("rep").alias("a"), "b"))
+    groups = connected_components(ties, "hnsw-components")
     counts = found.filter("links is not null").groupBy("rep", "h1").agg(F.sum("links").alias("links"))
     named = reps.select("h1", "h2", "rep", "m").join(counts, ["rep", "h1"], "left").join(groups, F.col("rep") == F.col("node"), "left")
     named = named.select(F.lit(True).alias("ok"), "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))

@@ -389,7 +389,8 @@ def pack(unit, rep):
 
     rep = np.array(rep)
     ids = pa.array(rep)
-    shard = pa.table({"shard": ["x"] * len(rep), "rep": ids, "h1": ids, "m": [1] * len(rep), "v": pa.array(unit.tolist())})
+    n = len(rep)
+    shard = pa.table({"d": pa.array([16] * n, pa.int32()), "parts": [1] * n, "shard": [0] * n, "rep": ids, "h1": ids, "m": [1] * len(rep), "v": pa.array(unit.tolist())})
     return hnsw._build(shard), shard
 
 
@@ -397,12 +398,55 @@ def test_embedding_audit(monkeypatch):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(100, 16))
     graphs, rows = pack(np.concatenate([base, base[:10] + 0.01]), range(110))
-    monkeypatch.setattr(hnsw.Graph, "within", lambda self, q, least, beam: [np.array([row.argmax()]) for row in q @ self.vectors.T])
+    within = hnsw.Graph.within
+    monkeypatch.setattr(hnsw.Graph, "within", lambda self, q, least, beam: ([np.array([row.argmax()]) for row in q @ self.vectors.T], np.zeros(len(q), bool)))
     audit = hnsw._audit(0.95, graphs, rows).to_pydict()
     assert sum(audit["exact"]) == 20 * len(hnsw.BEAMS) and sum(audit["found"]) < sum(audit["exact"])
-    assert hnsw.passing([{"beam": 64, "pooled": 1.0, "mean": 0.9}, {"beam": 128, "pooled": 0.9, "mean": 1.0}], 0.99) == 0
-    assert hnsw.passing([{"beam": 64, "pooled": 1.0, "mean": 1.0}, {"beam": 128, "pooled": 1.0, "mean": 1.0}], 0.99) == 64
-    assert np.sum(hnsw._query(0.95, 0, graphs, rows)["links"].drop_null().to_numpy()) == 20
+    monkeypatch.setattr(hnsw.Graph, "within", within)
+    audit = hnsw._audit(0.95, graphs, rows).to_pydict()
+    assert audit["found"] == audit["exact"]
+    recall = lambda *rows: [{"beam": b, "pooled": p, "mean": m, "n": n} for b, p, m, n in rows]
+    assert hnsw.passing(recall((64, 1.0, 0.9, 99), (128, 0.9, 1.0, 99)), 0.99) == 0
+    assert hnsw.passing(recall((64, 1.0, 1.0, 99), (128, 1.0, 1.0, 99)), 0.99) == 64
+    assert hnsw.passing(recall((64, 1.0, 1.0, 3)), 0.99) == hnsw.passing([], 0.99) == hnsw.BEAMS[-1]
+
+
+@pytest.mark.parametrize("beam, full", [(64, 256), (64, 3), (0, 256)])
+def test_embedding_cells(monkeypatch, beam, full):
+    """Links of one shard and of two by graph, by graph with hot vectors, and by brute force alone."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(90, 16))
+    near = lambda k, n: base[k] + 0.05 * rng.normal(size=(n, 16))
+    left, right = np.concatenate([base[:60], near(3, 9), near(4, 2)]), np.concatenate([base[60:], near(3, 8), near(5, 1), near(70, 3)])
+    monkeypatch.setattr(hnsw, "FULL", full)
+    graphs = [pack(v, at + np.arange(len(v)))[0] for v, at in ((left, 0), (right, 1000))]
+    import pyarrow as pa
+
+    for some in ([graphs[0]], graphs):
+        sides = [(left, 0), (right, 1000)][: len(some)]
+        ids = np.concatenate([at + np.arange(len(v)) for v, at in sides])
+        unit = np.concatenate([v for v, _ in sides])
+        unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+        near_ = (unit @ unit.T >= 0.95) & ~np.eye(len(unit), dtype=bool)
+        if len(some) == 2:
+            near_ &= (ids[:, None] < 1000) != (ids[None] < 1000)
+        out = hnsw._links(0.95, beam, pa.concat_tables(some)).to_pylist()
+        assert {r["rep"]: r["links"] for r in out if r["links"]} == {int(i): int(n) for i, n in zip(ids, near_.sum(1)) if n}
+        ties = [(r["a"], r["b"]) for r in out if r["a"] is not None]
+        want = plain_components(ids.tolist(), ids.tolist(), lambda x, y: near_[np.searchsorted(ids, x), np.searchsorted(ids, y)])
+        assert plain_components(ids.tolist(), ids.tolist(), lambda x, y: (x, y) in ties or (y, x) in ties) == want
+
+
+def test_embeddings_with_few_links_and_repeated_ids(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(400, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(base)] + [(1000 + i, (base[i] + 0.01 * rng.normal(size=16)).tolist()) for i in range(0, 400, 10)]
+    rows += [(1, base[350].tolist()), (2000, base[7].tolist()), (2000, base[9].tolist())]
+    got = hnsw.near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shards=2).collect()
+    by = {r.vec_id: r for r in got}
+    assert all(by[1000 + i].component_id == (i if i != 350 else 1) and by[1000 + i].n_links >= 1 for i in range(0, 400, 10))
+    assert by[2000].component_id == by[9].component_id == 7 and by[350].component_id == 1 and by[1].kept
+    assert sum(r.n_links for r in got) == 2 * 40 + 2 + 2 + 2 * 2
 
 
 # 8: languages
