@@ -13,6 +13,7 @@ from matchloom.functions.geometry import H, PX_PER_METER, centre, project
 from matchloom.operators.detections import FRAME
 
 
+#: The defaults are fixed values.
 @dataclass(frozen=True)
 class BallConfig:
     noise_pos: float = 15.0
@@ -94,7 +95,7 @@ def track(rows: pd.DataFrame, cfg: BallConfig) -> pd.DataFrame:
         have = not np.isnan(z[at, 0])
         if x is None:
             if have:
-                x, p, gap = np.array([*z[at], 0, 0]), np.diag([25.0, 25.0, 100.0, 100.0]), 0
+                x, p, gap = np.array([*z[at], 0, 0]), np.diag([cfg.noise_measured, cfg.noise_measured, 100.0, 100.0]), 0
                 steps.append((at, x, p, None, None, True))
             continue
         x = _MOVE @ x

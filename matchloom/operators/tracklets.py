@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions.geometry import centre, distance, dot, iou
@@ -101,12 +101,15 @@ def mean_vectors(rows: DataFrame, keys: list[str], vectors: DataFrame, window: i
     """Mean embedding of the first and last rows; ``vectors`` is (vec_id, embedding). Only these rows
     meet the embeddings; rows without one are left out."""
     e = ends(rows, keys, window).select(*keys, "head", "tail", "vec_id").join(vectors, "vec_id")
-    flat = e.select(*keys, "head", "tail", F.posexplode("embedding"))
-    mean = lambda side: F.avg(F.when(F.col(side), F.col("col").cast("double")))
-    at = flat.groupBy(*keys, "pos").agg(mean("head").alias("h"), mean("tail").alias("t"))
-    gather = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("pos", c))), lambda x: x[c])
-    none = lambda v: F.when(F.exists(v, lambda x: x.isNull()), None).otherwise(v)
-    return at.groupBy(*keys).agg(gather("h").alias("head_emb"), gather("t").alias("tail_emb")).withColumns({"head_emb": none(F.col("head_emb")), "tail_emb": none(F.col("tail_emb"))})
+    found = e.groupBy(*keys).agg(*(F.collect_list(F.when(F.col(side), F.col("embedding"))).alias(side) for side in ("head", "tail")))
+
+    def mean(side: str) -> Column:
+        """Of the few vectors of one end; they are added up place by place."""
+        first = F.transform(F.get(side, 0), lambda x: x.cast("double"))
+        total = F.aggregate(F.slice(side, 2, F.greatest(F.size(side), F.lit(1))), first, lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+        return F.when(F.size(side) > 0, F.transform(total, lambda x: x / F.size(side)))
+
+    return found.select(*keys, mean("head").alias("head_emb"), mean("tail").alias("tail_emb"))
 
 
 def link_candidates(tracklets: DataFrame, cfg: TrackingConfig = TrackingConfig()) -> DataFrame:

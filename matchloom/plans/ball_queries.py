@@ -38,17 +38,48 @@ def tracked(t):
     return ball.track_ball(t.ev.select(*FRAME), ball.candidates(t.detections), people(t), t.homography)
 
 
-@register("b03_track_ball")
+#: Both axes have the same variances and don't mix, so one place-and-speed filter of scalars a, b, c (variance of
+#: the place, covariance, variance of the speed) serves them; then the smoothing steps back through each track.
+TRACKED = CANDIDATES + f""", crowd AS (SELECT match_id, frame_idx, list({{'x': (x1 + x2) / 2, 'y': (y1 + y2) / 2}}) AS people FROM tracks JOIN track_role USING (match_id, track_id) WHERE role <> 'referee' GROUP BY match_id, frame_idx),
+z AS (SELECT e.match_id, e.frame_idx, row_number() OVER (PARTITION BY e.match_id ORDER BY e.frame_idx) AS n, x_px AS zx, y_px AS zy, conf, coalesce(people, []) AS people, h.* EXCLUDE (match_id, frame_idx)
+  FROM ev e LEFT JOIN cand USING (match_id, frame_idx) LEFT JOIN crowd USING (match_id, frame_idx) LEFT JOIN homography h USING (match_id, frame_idx)),
+f(match_id, frame_idx, n, seg, alive, inside, hit, fast, gap, x, y, vx, vy, a, b, c, px, py, pvx, pvy, pa, pb, pc) AS (
+  SELECT match_id, frame_idx, n, (zx IS NOT NULL)::INT, zx IS NOT NULL, zx IS NOT NULL, zx IS NOT NULL, false, 0, zx, zy, 0.0::DOUBLE, 0.0::DOUBLE, 25.0::DOUBLE, 0.0::DOUBLE, 100.0::DOUBLE,
+    NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE FROM z WHERE n = 1
+  UNION ALL SELECT r.match_id, r.frame_idx, r.n, seg + (new)::INT, new OR was AND (hit OR gap < 38), new OR was, new OR hit, fast, CASE WHEN new OR hit THEN 0 ELSE gap + 1 END,
+    CASE WHEN new THEN zx WHEN hit THEN px + pa / s * (zx - px) ELSE px END, CASE WHEN new THEN zy WHEN hit THEN py + pa / s * (zy - py) ELSE py END,
+    CASE WHEN new THEN 0 WHEN hit THEN pvx + pb / s * (zx - px) ELSE pvx END, CASE WHEN new THEN 0 WHEN hit THEN pvy + pb / s * (zy - py) ELSE pvy END,
+    CASE WHEN new THEN 25 WHEN hit THEN pa - pa / s * pa ELSE pa END, CASE WHEN new THEN 0 WHEN hit THEN pb - pa / s * pb ELSE pb END, CASE WHEN new THEN 100 WHEN hit THEN pc - pb / s * pb ELSE pc END,
+    px, py, pvx, pvy, pa, pb, pc
+  FROM (SELECT *, near AND NOT quick AS hit, near AND quick AS fast FROM (
+    SELECT *, coalesce(gap > 0 AND sqrt(pow({project_sql("zx", "zy")[0]} - {project_sql("px", "py")[0]}, 2) + pow({project_sql("zx", "zy")[1]} - {project_sql("px", "py")[1]}, 2)) / ((gap + 1) / 25.0) > 35, false) AS quick,
+      was AND zx IS NOT NULL AND NOT (conf < 0.5 AND len(list_filter(people, lambda p: sqrt(pow(p.x - px, 2) + pow(p.y - py, 2)) <= 60)) >= 2) AND (pow(zx - px, 2) + pow(zy - py, 2)) / s <= 9.21 AS near
+    FROM (SELECT *, pa + 25 AS s FROM (
+      SELECT z.*, f.seg, f.gap, f.alive AS was, NOT f.alive AND z.zx IS NOT NULL AS new, f.x + f.vx AS px, f.y + f.vy AS py, f.vx AS pvx, f.vy AS pvy,
+        f.a + 2 * f.b + f.c + 15 * least(pow(1.15, f.gap), 25) AS pa, f.b + f.c AS pb, f.c + 40 * least(pow(1.15, f.gap), 25) AS pc
+      FROM f JOIN z ON z.match_id = f.match_id AND z.n = f.n + 1) k) p) q) r),
+steps AS (SELECT *, max(n) OVER t AS last_n, max(CASE WHEN hit THEN n END) OVER t AS last_hit FROM f WHERE inside WINDOW t AS (PARTITION BY match_id, seg)),
+back(match_id, n, seg, sx, sy, svx, svy, nx, ny, nvx, nvy, na, nb, nc) AS (
+  SELECT match_id, n, seg, x, y, vx, vy, px, py, pvx, pvy, pa, pb, pc FROM steps WHERE n = last_n
+  UNION ALL SELECT r.match_id, r.n, r.seg, x + g1 * (sx - nx) + g2 * (svx - nvx), y + g1 * (sy - ny) + g2 * (svy - nvy), vx + g3 * (sx - nx) + g4 * (svx - nvx), vy + g3 * (sy - ny) + g4 * (svy - nvy), px, py, pvx, pvy, pa, pb, pc
+  FROM (SELECT k.*, t.sx, t.sy, t.svx, t.svy, t.nx, t.ny, t.nvx, t.nvy, ((a + b) * nc - b * nb) / (na * nc - nb * nb) AS g1, (b * na - (a + b) * nb) / (na * nc - nb * nb) AS g2, ((b + c) * nc - c * nb) / (na * nc - nb * nb) AS g3, (c * na - (b + c) * nb) / (na * nc - nb * nb) AS g4
+    FROM back t JOIN steps k ON k.match_id = t.match_id AND k.seg = t.seg AND k.n = t.n - 1) r),
+placed AS (SELECT z.*, CASE WHEN s.hit THEN zx WHEN s.n < last_hit THEN sx END AS x_px, CASE WHEN s.hit THEN zy WHEN s.n < last_hit THEN sy END AS y_px, CASE WHEN s.hit THEN 'detected' WHEN s.n < last_hit THEN 'smoothed' ELSE 'lost' END AS source, CASE WHEN s.hit THEN z.conf END AS at_conf, coalesce(s.fast, false) AS rejected_speed
+  FROM z LEFT JOIN steps s ON s.match_id = z.match_id AND s.n = z.n LEFT JOIN back b ON b.match_id = z.match_id AND b.n = z.n AND b.seg = s.seg)"""
+PITCH = "{} AS pitch_x, {} AS pitch_y".format(*project_sql("x_px", "y_px"))
+
+
+@register("b03_track_ball", "ev detections tracks track_role homography", TRACKED + " --- SELECT match_id, frame_idx, source, rejected_speed FROM placed")
 def _(t):
     return tracked(t).select(*FRAME, "source", "rejected_speed")
 
 
-@register("b04_smooth_ball")
+@register("b04_smooth_ball", "ev detections tracks track_role homography", TRACKED + " --- SELECT match_id, frame_idx, x_px, y_px FROM placed", "x_px y_px", digits=4)
 def _(t):
     return tracked(t).select(*FRAME, "x_px", "y_px")
 
 
-@register("b05_ball_positions")
+@register("b05_ball_positions", "ev detections tracks track_role homography", TRACKED + f" --- SELECT match_id, frame_idx, x_px, y_px, source, at_conf AS conf, rejected_speed, {PITCH} FROM placed", "x_px y_px conf pitch_x pitch_y", digits=4)
 def _(t):
     return tracked(t)
 
@@ -134,11 +165,25 @@ def _(t):
 CFG = carrier.CarrierConfig(switch_frames=4)
 
 
-@register("c06_hold_carrier")
+#: Track numbers of the derived tables go to 24; the recurrence goes frame by frame.
+_PUT = "list_transform(range(1, 25), lambda i: CASE WHEN i = candidate THEN {} ELSE streak[i] END)"
+_NONE = "list_transform(range(1, 25), lambda i: 0)"
+HELD = CHOICE + f""", w AS (SELECT c.match_id, c.frame_idx, method, CASE WHEN method IN ('overlap', 'proximity') THEN id END AS candidate, coalesce(touch_like, true) AS touch, source AS ball_source, row_number() OVER (PARTITION BY c.match_id ORDER BY c.frame_idx) AS n
+  FROM choice c LEFT JOIN touchy USING (match_id, frame_idx) LEFT JOIN ball USING (match_id, frame_idx)),
+k(match_id, frame_idx, n, now, idle, streak) AS (
+  SELECT match_id, -1::BIGINT, 0::BIGINT, NULL::BIGINT, 0, {_NONE} FROM w WHERE n = 1
+  UNION ALL SELECT r.match_id, r.frame_idx, r.n, CASE WHEN candidate IS NULL THEN CASE WHEN idle < 8 THEN now END WHEN candidate = now THEN now WHEN touch AND streak[candidate] + 1 >= {CFG.switch_frames} THEN candidate ELSE now END,
+    CASE WHEN candidate IS NULL THEN idle + 1 ELSE 0 END,
+    CASE WHEN candidate IS NULL THEN CASE WHEN idle < 8 THEN streak ELSE {_NONE} END WHEN candidate = now THEN {_PUT.format(0)} WHEN NOT touch THEN streak WHEN streak[candidate] + 1 >= {CFG.switch_frames} THEN {_NONE} ELSE {_PUT.format("streak[i] + 1")} END
+  FROM (SELECT w.*, k.now, k.idle, k.streak FROM k JOIN w ON w.match_id = k.match_id AND w.n = k.n + 1) r),
+held AS (SELECT match_id, frame_idx, now AS track_id, method, ball_source FROM k JOIN w USING (match_id, frame_idx))"""
+
+
+@register("c06_hold_carrier", NEEDS, HELD + " --- SELECT * FROM held")
 def _(t):
     return carrier.assign_carrier(decided(t), CFG)
 
 
-@register("c07_carrier_stats")
+@register("c07_carrier_stats", NEEDS, HELD + " --- SELECT match_id, count(*) AS n_frames, count(track_id) AS n_assigned, count(*) FILTER (method = 'contested') AS n_contested, 100.0 * count(track_id) / count(*) AS assigned_pct, 100.0 * count(*) FILTER (method = 'contested') / count(*) AS contested_pct FROM held GROUP BY match_id", "assigned_pct contested_pct")
 def _(t):
     return carrier.carrier_stats(carrier.assign_carrier(decided(t), CFG))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
 
 from matchloom.functions import geometry as g
@@ -25,7 +27,7 @@ def _(t):
 
 @register("s03_load_or_build", "ball_frame", BALL_FRAME, "ball_pitch_x ball_pitch_y")
 def _(t):
-    path = f"{io.shared_folder(t.spark)}/matchloom/stage-{abs(hash(t.sf_dir))}"
+    path = f"{io.shared_folder(t.spark)}/matchloom/stage-{zlib.crc32(t.sf_dir.encode())}"
     io.load_or_build(t.spark, [path], lambda: [t.ball_frame], force=True)
     return io.load_or_build(t.spark, [path], lambda: [t.ball_frame.limit(0)])[0]
 
@@ -194,20 +196,44 @@ def _(t):
     return homographies.enforce(t.homography_raw, homographies.calibrate(t.homography_raw)).select(*FRAME, "h0", "h2", "h4", "mirrored")
 
 
-@register("h04_smooth")
+def _smooth_sql() -> str:
+    """The recurrence frame by frame, with the inverse by cofactors (its scale doesn't move a projected point)."""
+    h = "[" + ", ".join(f"h{i}" for i in range(9)) + "]"
+    turned = lambda m: "[" + ", ".join(f"{m}[{a}] * {m}[{b}] - {m}[{c}] * {m}[{d}]" for a, b, c, d in ((5, 9, 6, 8), (3, 8, 2, 9), (2, 6, 3, 5), (6, 7, 4, 9), (1, 9, 3, 7), (3, 4, 1, 6), (4, 8, 5, 7), (2, 7, 1, 8), (1, 5, 2, 4))) + "]"
+    singular = lambda m, t: f"{m}[1] * {t}[1] + {m}[2] * {t}[4] + {m}[3] * {t}[7] = 0"
+    at = lambda t, i: f"({t}[{i}] * k.x + {t}[{i + 1}] * k.y + {t}[{i + 2}]) / ({t}[7] * k.x + {t}[8] * k.y + {t}[9])"
+    off = "list_median(list_transform(points, lambda k: sqrt(power({} - {}, 2) + power({} - {}, 2))))".format(at("a", 1), at("b", 1), at("a", 4), at("b", 4))
+    points = ", ".join(f"{{'x': {x * 10:.2f}::DOUBLE, 'y': {y * 10:.2f}::DOUBLE}}" for x, y in homographies.KEY_POINTS)
+    return f""", z AS (SELECT match_id, frame_idx, tag, CASE WHEN h0 IS NOT NULL THEN {h} END AS h, coalesce(least(1.0, n_inliers / 15.0), 1.0)::DOUBLE AS conf, row_number() OVER (PARTITION BY match_id ORDER BY frame_idx) AS n, [{points}] AS points FROM homography_raw),
+s(match_id, frame_idx, n, m, jump) AS (
+  SELECT match_id, frame_idx, n, CASE WHEN tag = 'anchor' THEN h END, false FROM z WHERE n = 1
+  UNION ALL SELECT r.match_id, r.frame_idx, r.n,
+    CASE WHEN h IS NULL THEN m WHEN m IS NULL THEN CASE WHEN tag = 'anchor' THEN h END
+      ELSE list_transform(range(1, 10), lambda i: least(greatest(alpha, 0.05), 0.9) * h[i] + (1 - least(greatest(alpha, 0.05), 0.9)) * m[i]) END, r.jump
+  FROM (SELECT *, CASE WHEN jump THEN greatest(0.3 * conf, 0.8) ELSE 0.3 * conf END::DOUBLE AS alpha FROM (
+    SELECT *, h IS NOT NULL AND m IS NOT NULL AND conf >= 0.5 AND (CASE WHEN {singular("h", "a")} OR {singular("m", "b")} THEN 'inf'::DOUBLE ELSE {off} END) > 25 AS jump FROM (
+      SELECT z.*, s.m, {turned("z.h")} AS a, {turned("s.m")} AS b FROM s JOIN z ON z.match_id = s.match_id AND z.n = s.n + 1) p) q) r)"""
+
+
+SMOOTH = _smooth_sql()
+SMOOTHED = ", ".join(f"m[{i + 1}] AS h{i}" for i in range(9))
+
+
+@register("h04_smooth", "homography_raw", SMOOTH + f" --- SELECT match_id, frame_idx, {SMOOTHED}, jump FROM s", " ".join(f"h{i}" for i in range(9)))
 def _(t):
     return homographies.smooth(t.homography_raw)
 
 
-@register("h05_jumps")
+@register("h05_jumps", "homography_raw", SMOOTH + " --- SELECT match_id, frame_idx FROM s WHERE jump")
 def _(t):
     return homographies.smooth(t.homography_raw).filter("jump").select(*FRAME)
 
 
-@register("h06_coverage", "homography_raw", """, seeds AS (SELECT match_id, min(frame_idx) FILTER (tag = 'anchor' AND h0 IS NOT NULL) AS seed FROM homography_raw GROUP BY match_id)
-  --- SELECT match_id, count(*) AS n_frames, count(h0) AS n_valid, count(*) FILTER (frame_idx >= seed) AS n_covered FROM homography_raw JOIN seeds USING (match_id) GROUP BY match_id""")
+@register("h06_coverage", "homography_raw", SMOOTH + """, raw AS (SELECT match_id, count(*) AS n_frames, count(h0) AS n_valid FROM homography_raw GROUP BY match_id)
+  --- SELECT match_id, any_value(n_frames) AS n_frames, any_value(n_valid) AS n_valid, count(m) AS n_covered, count(*) FILTER (jump) AS n_jumps FROM s JOIN raw USING (match_id) GROUP BY match_id""")
 def _(t):
-    return homographies.coverage(t.homography_raw, homographies.smooth(t.homography_raw)).drop("n_jumps")
+    return homographies.coverage(t.homography_raw, homographies.smooth(t.homography_raw))
+
 
 
 @register("l01_crowding", "tracks track_role", """, p AS (SELECT match_id, frame_idx, track_id, trunc((x1 + x2) / 2)::INT AS fx, trunc(y2)::INT AS fy FROM tracks JOIN track_role USING (match_id, track_id) WHERE role IN ('player', 'goalkeeper')),

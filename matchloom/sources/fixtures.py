@@ -6,6 +6,8 @@ Every table has the same definition as a DuckDB common table expression in ``SQL
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: name -> (tables it needs, SQL that both engines run)
@@ -72,12 +74,13 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
           CASE WHEN frame_idx % 11 = 5 THEN 'unresolved' WHEN frame_idx % 13 = 3 THEN 'bootstrap' WHEN frame_idx % 17 = 2 THEN NULL ELSE 'anchor' END AS tag
         FROM (SELECT *, frame_idx % 10 = 0 AND frame_idx % 150 = 50 AS flip FROM homography) f""",
     ),
+    "vectors": ((), "SELECT count(*) AS n FROM embeddings"),
     "raw_tracks": (
-        ("tracks",),
-        """SELECT match_id, frame_idx, track_id * 100 + frame_idx {div} 120 AS raw_track_id, x1, y1, x2, y2, conf, class, (track_id * 7 + match_id) % 500 AS vec_id
+        ("tracks", "vectors"),
+        """SELECT match_id, frame_idx, track_id * 100 + frame_idx {div} 120 AS raw_track_id, x1, y1, x2, y2, conf, class, (track_id * 7 + match_id * 31) % (SELECT max(n) FROM vectors) AS vec_id
         FROM tracks WHERE (frame_idx + track_id * 13) % 120 < 100""",
     ),
-    "track_vectors": (("tracks",), "SELECT match_id, frame_idx, track_id, CASE WHEN (frame_idx + track_id) % 19 <> 0 THEN (track_id * 7 + match_id + frame_idx % 3) % 500 END AS vec_id FROM tracks"),
+    "track_vectors": (("tracks", "vectors"), "SELECT match_id, frame_idx, track_id, CASE WHEN (frame_idx + track_id) % 19 <> 0 THEN (track_id * 7 + match_id * 31 + frame_idx % 3) % (SELECT max(n) FROM vectors) END AS vec_id FROM tracks"),
     "ball_px": (
         ("ev", "tracks"),
         """SELECT e.match_id, e.frame_idx, CASE WHEN lost THEN NULL ELSE (t.x1 + t.x2) / 2 + (e.frame_idx % 9) * 5 - 20 END AS x_px, CASE WHEN lost THEN NULL ELSE t.y2 - 8 + (e.frame_idx % 4) * 4 END AS y_px,
@@ -108,14 +111,19 @@ def _needs(names) -> list[str]:
 
 
 def oracle(names: str, body: str) -> str:
-    """DuckDB text: the common table expressions that ``names`` need, then ``body``."""
+    """DuckDB text: the common table expressions that ``names`` need, then ``body``. Each is computed
+    once, as chains of them would else be computed again at every use."""
     ctes = [f"{n} AS ({_render(SQL[n][1], False)})" for n in _needs(names.split())]
-    return f"WITH {', '.join(ctes)}{body if body.lstrip().startswith(',') else chr(10) + body}"
+    text = f"WITH {'RECURSIVE ' if ' UNION ALL SELECT r.' in body else ''}{', '.join(ctes)}{body if body.lstrip().startswith(',') else chr(10) + body}"
+    return re.sub(r"(\b\w+) AS \((?=SELECT)", r"\1 AS MATERIALIZED (", text)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived table as a DataFrame; its inputs are common table expressions of the same query."""
     ctes = {n: _render(SQL[n][1], True) for n in _needs([name])}
     ctes["ev"] = ctes["ev"].replace("FROM events", "FROM {events}") if "ev" in ctes else ""
+    if "vectors" in ctes:
+        ctes["vectors"] = ctes["vectors"].replace("FROM embeddings", "FROM {embeddings}")
     text = ", ".join(f"{n} AS ({q})" for n, q in ctes.items() if q)
-    return spark.sql(f"WITH {text} SELECT * FROM {name}", events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "embeddings") if f"{{{t}}}" in text}
+    return spark.sql(f"WITH {text} SELECT * FROM {name}", **tables)

@@ -259,3 +259,48 @@ def test_frame_spine_reads_all_rows(spark, monkeypatch):
     monkeypatch.setattr(fixtures, "table", lambda spark, sf_dir, name: ev)
     got = {(r.match_id, r.frame_idx) for r in registry.QUERIES["s06_frame_spine"](spark, "").collect()}
     assert got == {(1, i) for i in range(8)} | {(2, i) for i in range(3)}
+
+
+def test_registered_identity_report_and_kits(spark, sf):
+    """The queries without SQL against plain counts and nearest centres of their own inputs."""
+    from collections import Counter, defaultdict
+
+    from matchloom import plans
+    from matchloom.plans import registry, tracking_queries
+
+    chains = defaultdict(list)
+    for r in plans.QUERIES["k12_track_numbers"](spark, sf).collect():
+        chains[r.match_id, r.track_id].append(r["class"])
+    want = defaultdict(Counter)
+    for (m, _), c in chains.items():
+        assert len(set(c)) == 1
+        want[m][f"chains_{min(len(c), 3)}"] += 1
+        want[m][f"n_{c[0]}"] += 1
+    assert sorted(n for m, n in chains if m == 0) == list(range(1, 1 + sum(m == 0 for m, _ in chains)))
+    for r in plans.QUERIES["k13_identity_report"](spark, sf).collect():
+        assert all(r[c] == want[r.match_id][c] for c in ("chains_1", "chains_2", "chains_3", "n_player", "n_goalkeeper", "n_referee"))
+        assert (r.over_goalkeeper, r.over_referee) == (r.n_goalkeeper > 2, r.n_referee > 3)
+    t = registry.Tables(spark, sf)
+    kits = {(r.match_id, r.team): [np.array(r[c]) for c in ("centre", "mean", "scale")] for r in tracking_queries.clusters(t).collect()}
+    rows = tracking_queries.vectors(t).filter("frame_idx % 8 = 0").join(t.track_role.filter("role = 'player'"), ["match_id", "track_id"], "left_semi").collect()
+    near = {}
+    for r in rows:
+        off = [np.linalg.norm((np.array(r.embedding) - kits[r.match_id, k][1]) / kits[r.match_id, k][2] - kits[r.match_id, k][0]) for k in (0, 1)]
+        near[r.match_id, r.frame_idx, r.track_id] = int(np.argmin(off))
+    got = {(r.match_id, r.frame_idx, r.track_id): r.team for r in plans.QUERIES["a05_classify_kits"](spark, sf).collect()}
+    same = np.mean([got[k] == v for k, v in near.items()])
+    assert got.keys() == near.keys() and max(same, 1 - same) == 1
+
+
+def test_homography_jump(spark):
+    """A sure matrix that moves the key points by more than the limit is followed fast."""
+    eye = [10.0, 0.0, 5.0, 0.0, 10.0, 7.0, 0.0, 0.0, 1.0]
+    far = [v + (500 if i in (2, 5) else 0) for i, v in enumerate(eye)]
+    rows = [(1, 0, *eye, 15, "anchor"), (1, 1, *far, 15, "anchor"), (1, 2, *far, 6, "anchor"), (1, 3, *far, None, None)]
+    raw = spark.createDataFrame(rows, "match_id long, frame_idx long, " + ", ".join(f"h{i} double" for i in range(9)) + ", n_inliers int, tag string")
+    out = homographies.smooth(raw).orderBy("frame_idx").collect()
+    x1 = 0.8 * 505 + 0.2 * 5
+    x2 = 0.12 * 505 + 0.88 * x1
+    assert [r.jump for r in out] == [False, True, False, False]
+    assert [r.h2 for r in out] == [5.0, pytest.approx(x1), pytest.approx(x2), pytest.approx(0.3 * 505 + 0.7 * x2)]
+    assert homographies.coverage(raw, homographies.smooth(raw)).first().n_jumps == 1
