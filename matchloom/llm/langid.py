@@ -138,15 +138,23 @@ def _fit_rows(batches):
 
 
 def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG):
-    """Fit on ``per_lang`` rows at most of every language, drawn by a hash of doc_id among the rows with
-    a language, a text and crc32(doc_id) mod 5 other than 0. The model has 2^BITS weights a language."""
+    """Fit on ``per_lang`` rows at most of every language, drawn by a hash of doc_id and text among the rows
+    with a language, a text and crc32(doc_id) mod 5 other than 0. The model has 2^BITS weights a language.
+
+    Where a language has many more rows, a threshold on the hash lets about twice ``per_lang`` through,
+    so that no task sees more of them than that. Equal rows count once.
+    """
     rows = docs.filter("lang is not null and text is not null and crc32(cast(doc_id as string)) % 5 <> 0")
-    drawn = rows.select("doc_id", "lang").withColumn("order", F.xxhash64("doc_id"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
+    # Negative hashes to positive ones: the order is that of an unsigned number.
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)
+    drawn = materialize(rows.select("lang", place.alias("order")), "language-rows")
+    counted = drawn.groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.least(F.lit(1.0), F.lit(2.0 * per_lang) / F.col("n")) * float(1 << 63)
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
+    low = drawn.join(counted, "lang").filter(F.col("order") <= share).select("lang", "order").distinct()
     # Written first: its true size then tells Spark to broadcast it, and no text is shuffled.
-    drawn = materialize(drawn.withColumn("place", place).filter(F.col("place") <= per_lang).select("doc_id", "lang", "order").distinct(), "language-sample")
-    # A repeated doc_id may bring more rows again.
-    sample = rows.select("doc_id", "lang", "text").join(drawn, ["doc_id", "lang"]).withColumn("place", place).filter(F.col("place") <= per_lang)
+    drawn = materialize(low.withColumn("place", first).filter(F.col("place") <= per_lang).select("lang", "order"), "language-sample")
+    sample = rows.select("lang", "text", place.alias("order")).join(drawn, ["lang", "order"]).groupBy("lang", "order").agg(F.first("text").alias("text"))
     found = sample.select("text", "lang", "order").coalesce(1).mapInArrow(_fit_rows, "langs array<string>, weights binary, bias array<double>, temperature double").first()
     if found is None:
         return [], np.empty((1 << BITS, 0)), np.empty(0), 1.0
