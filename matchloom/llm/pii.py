@@ -108,15 +108,19 @@ def find(docs: DataFrame, kinds=tuple(PATTERNS)) -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts of the base kinds, a digest of the base spans and all spans as a string."""
+    """Counts of the base kinds, a digest of the base spans, all spans as a string, their scores in
+    hundredths in the same order, and how many have a word of their kind nearby."""
     joined = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))))
     count = lambda k: F.size(F.filter("found", lambda s: s.kind == k)).cast("long").alias(f"n_{k}")
     base = F.filter("found", lambda s: s.kind.isin(*BASE))
-    return found.select("doc_id", *map(count, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+    scores = F.concat_ws(",", F.transform("found", lambda s: F.round(s.score * 100).cast("int").cast("string"))).alias("scores")
+    nearby = lambda s: s.score > F.element_at(F.create_map(*(F.lit(x) for kv in SCORES.items() for x in kv)), s.kind) + NEARBY / 2
+    n_nearby = F.size(F.filter("found", nearby)).cast("long").alias("n_nearby")
+    return found.select("doc_id", *map(count, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), scores, n_nearby)
 
 
 def _oracle() -> str:
-    """The same in DuckDB, from the plain patterns; the context only moves scores."""
+    """The same in DuckDB, from the plain patterns."""
     def digits(h):
         return f"regexp_replace({h}, '[^0-9]', '', 'g')"
 
@@ -135,16 +139,18 @@ def _oracle() -> str:
     }
     rows = []
     for at, (k, p) in enumerate(PLAIN.items()):
-        rows.append(f"""SELECT r, {at} AS o, '{k}' AS kind, s, s + len(h) AS e FROM (
-          SELECT r, h, sum(len(g)) OVER w + coalesce(sum(len(h)) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
-          FROM (SELECT r, unnest(hits) AS h, unnest(gaps[1:len(hits)]) AS g, unnest(range(len(hits))) AS i FROM (SELECT r, regexp_extract_all(text, '{p}') AS hits, string_split_regex(text, '{p}') AS gaps FROM d)) WINDOW w AS (PARTITION BY r ORDER BY i)
+        near = f"regexp_matches(right(g, {CONTEXT_CHARS}) || ' ' || left(g2, {CONTEXT_CHARS}), '{CONTEXT[k]}')"
+        rows.append(f"""SELECT r, {at} AS o, '{k}' AS kind, s, s + len(h) AS e, {near} AS near, {round(100 * SCORES[k])} + CASE WHEN {near} THEN {round(100 * NEARBY)} ELSE 0 END AS score FROM (
+          SELECT r, h, g, g2, sum(len(g)) OVER w + coalesce(sum(len(h)) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+          FROM (SELECT r, unnest(hits) AS h, unnest(gaps[1:len(hits)]) AS g, unnest(gaps[2:len(hits) + 1]) AS g2, unnest(range(len(hits))) AS i FROM (SELECT r, regexp_extract_all(text, '{p}') AS hits, string_split_regex(text, '{p}') AS gaps FROM d)) WINDOW w AS (PARTITION BY r ORDER BY i)
         ) WHERE {ok[k]}""")
     text = "kind || ':' || s::BIGINT || ':' || e::BIGINT"
     counts = ", ".join(f"(count(kind) FILTER (kind = '{k}'))::BIGINT AS n_{k}" for k in BASE)
     return f"""
     WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
     f AS ({" UNION ALL ".join(rows)})
-    SELECT doc_id, {counts}, sha256(coalesce(string_agg({text}, ',' ORDER BY o, s) FILTER (o < 4), '')) AS base_sha256, coalesce(string_agg({text}, ',' ORDER BY o, s), '') AS spans
+    SELECT doc_id, {counts}, sha256(coalesce(string_agg({text}, ',' ORDER BY o, s) FILTER (o < 4), '')) AS base_sha256, coalesce(string_agg({text}, ',' ORDER BY o, s), '') AS spans,
+      coalesce(string_agg(score::VARCHAR, ',' ORDER BY o, s), '') AS scores, (count(kind) FILTER (near))::BIGINT AS n_nearby
     FROM (SELECT r, doc_id FROM d) LEFT JOIN f USING (r) GROUP BY r, doc_id"""
 
 
