@@ -244,8 +244,8 @@ def _shard(length, table: pa.Table) -> pa.Table:
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    """Windows that two shards hold: a shard names a window once, so one that binary search finds
-    twice in the merged order is in another shard. Windows that repeat inside their shard (since =
+    """Windows that two shards hold, told by their 128-bit hashes: a shard names a window once, so one that
+    binary search finds twice in the merged order is in another shard. Windows that repeat inside their shard (since =
     until) only answer."""
     anchor, seg, since, until, high, low = (np.asarray(table.column(c).combine_chunks()) for c in ("anchor", "seg", "since", "until", "high", "low"))
     key = np.empty(len(high), dtype=[("high", "<i8"), ("low", "<i8")])
@@ -300,7 +300,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     windows = materialize(whole.unionByName(across).groupBy("anchor", "seg").agg(F.collect_set(F.struct("since", "until")).alias("runs")), "repeat-windows")
     spans = found.select("doc", "print", "anchor", "seg", "places").join(windows, ["anchor", "seg"])
     moved = F.flatten(F.transform("places", lambda p: F.transform("runs", lambda r: F.struct((p + r.since).alias("since"), (p + r.until + (length - 1)).alias("until")))))
-    return spans.select("doc", "print", moved.alias("runs")).groupBy("doc", "print").agg(F.flatten(F.collect_list("runs")).alias("spans"))
+    # Rows with the same doc_id and text bring the same runs; a set keeps them once.
+    return spans.select("doc", "print", moved.alias("runs")).groupBy("doc", "print").agg(F.flatten(F.collect_set("runs")).alias("spans"))
 
 
 def _kept_rows(batches):
