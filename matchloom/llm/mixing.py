@@ -60,22 +60,24 @@ def targets(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     return sources.withColumn("target", cap if level is None else F.least(cap, F.col("w") * F.lit(level)))
 
 
-def mix(docs: DataFrame, labels: DataFrame | None = None, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame | None = None, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, row: str | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, copies for every row of ``docs``.
 
     size: number of words (null texts: 0); copies: how often the mix holds the document; taken: the
-    words of these copies. A null source is a source of its own; a null doc_id has one key like any
-    other; equal keys go by doc_id and size, and rows equal in all these are alike. Sources without
+    words of these copies. A null source is a source of its own; a null doc_id is drawn by its text;
+    ``row`` names a further column to keep; equal keys go by doc_id and size, and rows equal in all these are alike. Sources without
     words get nothing. Extra columns are ignored; no rows give no rows.
     """
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
+    carried = [] if row is None else [row]
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    sized = docs.select(*carried, "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), name.alias("name"))
+    digest = F.md5(F.concat("name", F.lit(f":{seed}")).cast("binary"))
     draw = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     if labels is None:
         sized = sized.withColumn("weight", F.lit(1.0))
     else:
         sized = sized.join(quality_weights(labels), "doc_id", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-    sized = materialize(sized.select("doc_id", "source", "size", (-F.log(draw) / F.col("weight")).alias("key")), "mix-sizes")
+    sized = materialize(sized.select(*carried, "doc_id", "source", "size", (-F.log(draw) / F.col("weight")).alias("key")), "mix-sizes")
     by_source = materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "mix-sums")
     plan = targets(source_weights(by_source, weights), max_epochs)
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
@@ -93,13 +95,13 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, weights=WEIGHTS, max_e
     run = run.join(sums.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.range") == F.col("b.range")))
     # Nearest whole document: it is drawn if its middle lies within the words left.
     drawn = (F.col("ahead") + F.col("run") - F.col("size") / 2 <= F.col("left")).cast("long")
-    return run.select("doc_id", "a.source", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + drawn)).alias("taken"), (F.col("epochs") + drawn).alias("copies"))
+    return run.select(*carried, "doc_id", "a.source", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + drawn)).alias("taken"), (F.col("epochs") + drawn).alias("copies"))
 
 
 ORACLE = f"""
 WITH sized AS (
   SELECT d.doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-    -ln((CAST('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '') || ':{SEED}'), 1, 13) AS BIGINT)::DOUBLE + 0.5) / {float(1 << 52)}) / coalesce(weight, 1.0) AS key
+    -ln((CAST('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, md5(coalesce(text, ''))) || ':{SEED}'), 1, 13) AS BIGINT)::DOUBLE + 0.5) / {float(1 << 52)}) / coalesce(weight, 1.0) AS key
   FROM documents d LEFT JOIN (SELECT doc_id, CASE WHEN max(quality) > 0 THEN {GOOD} ELSE {POOR} END AS weight FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) q ON d.doc_id = q.doc_id),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w FROM sized GROUP BY source),
 r AS (SELECT *, 3.0 * source_size AS cap, row_number() OVER (ORDER BY 3.0 * source_size / w, source NULLS LAST) AS k FROM s),
