@@ -59,14 +59,30 @@ def _weights(terms, batches):
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
+MAX_TERMS = 1_000_000
+
+
+def read_vocabulary(terms: DataFrame) -> dict[str, int]:
+    """The vocabulary of a table (term, weight): lower-case terms, the largest weight of each. It is held by every
+    worker, so more than MAX_TERMS terms are an error; null or empty terms and null weights are left out."""
+    rows = terms.filter("term <> '' and weight is not null").groupBy(F.lower("term").alias("term")).agg(F.max("weight").cast("int").alias("weight")).limit(MAX_TERMS + 1).collect()
+    if len(rows) > MAX_TERMS:
+        raise ValueError(f"more than {MAX_TERMS} terms")
+    return {r.term: r.weight for r in rows}
+
+
 def judge(pages: DataFrame, rules=RULES, vocabulary=None, limit: int = LIMIT) -> DataFrame:
     """page_id, host, path, rule, verdict, term_weight, n_terms for every row of ``pages``.
 
     Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: from
     there up to ``?``, ``#`` or the end; both empty without ``://`` and for null URLs, which no rule
     fits and which are allowed. The longest fitting rule decides; without one the vocabulary
-    does. Repeated rows give repeated rows; extra columns are ignored.
+    does: a dict, or a table (term, weight) for :func:`read_vocabulary`; by default our own short one.
+    URLs of any length are read whole. Repeated rows give repeated rows, no rows none; extra columns are
+    ignored.
     """
+    if isinstance(vocabulary, DataFrame):
+        vocabulary = read_vocabulary(vocabulary)
     terms = tuple(sorted((VOCABULARY if vocabulary is None else vocabulary).items()))
     rest = F.when(F.instr("url", "://") > 0, F.expr("substr(url, instr(url, '://') + 3)")).otherwise("")
     lower = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
