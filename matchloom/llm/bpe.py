@@ -11,6 +11,7 @@ import hashlib
 import json
 import re
 from functools import lru_cache, partial
+from heapq import heapify, heappop, heappush
 from itertools import islice
 
 import numpy as np
@@ -23,6 +24,8 @@ from matchloom.llm.common import small_batches, utf8
 #: Fixed pattern of byte-level vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 KNOWN_PIECES = 200_000
+#: Bytes from which a piece is merged by itself, with the same result.
+LONG_PIECE = 1000
 NO_RANK = np.iinfo(np.int64).max
 
 
@@ -57,8 +60,50 @@ class Vocabulary:
         self.bytes = np.frombuffer(b"".join(parts), dtype=np.uint8)
 
 
+def merge_long(vocab: Vocabulary, piece: bytes) -> np.ndarray:
+    """Token ids of one long piece, whose rounds would each pass over all of it: the lowest pair comes from a heap."""
+    symbols = vocab.by_byte[np.frombuffer(piece, dtype=np.uint8)].tolist()
+    n = len(symbols)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    known: dict[tuple[int, int], tuple[int, int] | None] = {}
+
+    def rank(i):
+        pair = symbols[i], symbols[after[i]]
+        if pair not in known:
+            key = pair[0] << 32 | pair[1]
+            at = int(np.searchsorted(vocab.keys, key))
+            known[pair] = (int(vocab.ranks[at]), int(vocab.made[at])) if at < len(vocab.keys) and vocab.keys[at] == key else None
+        return known[pair]
+
+    heap = [(r[0], i, symbols[i], symbols[i + 1], r[1]) for i in range(n - 1) if (r := rank(i))]
+    heapify(heap)
+    while heap:
+        _, i, left, right, made = heappop(heap)
+        j = after[i]
+        if symbols[i] != left or j >= n or symbols[j] != right:
+            continue
+        symbols[i], symbols[j] = made, -1
+        after[i] = k = after[j]
+        if k < n:
+            before[k] = i
+        for at in (before[i], i):
+            if at >= 0 and after[at] < n and (r := rank(at)):
+                heappush(heap, (r[0], at, symbols[at], symbols[after[at]], r[1]))
+    return np.array([s for s in symbols if s >= 0], dtype=np.uint32)
+
+
 def merge(vocab: Vocabulary, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all pieces, one after another, and the number of ids of each."""
+    if any(len(p) > LONG_PIECE for p in pieces):
+        found = [merge_long(vocab, p) if len(p) > LONG_PIECE else None for p in pieces]
+        ids, sizes = merge(vocab, [p if f is None else b"" for p, f in zip(pieces, found)])
+        at = np.cumsum(sizes) - sizes
+        parts, last = [], 0
+        for k, f in enumerate(found):
+            if f is not None:
+                parts += [ids[last : at[k]], f]
+                last, sizes[k] = at[k], len(f)
+        return np.concatenate([*parts, ids[last:]]), sizes
     data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
     symbols = vocab.by_byte[data]
     piece = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
