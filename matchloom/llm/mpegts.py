@@ -266,14 +266,17 @@ def _demux_rows(batches):
 
 def parse_media(media: DataFrame) -> DataFrame:
     """The columns of ``media`` (one of them the binary ``media``; null: no packets) and what
-    :func:`demux` finds in each stream. Columns that clash with the new ones must be renamed first."""
+    :func:`demux` finds in each stream. Columns named like the new ones are replaced; an empty stream has
+    no packets; repeated rows give repeated rows, no rows none."""
+    media = media.drop(*(f.name for f in _ARROW))
     have = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema.fields)
     return media.mapInArrow(_demux_rows, f"{have}, {_PARSED}")
 
 
 def media_features(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: digests of the payload read back and of the stored stream, and a feature
-    string of tables, packets, counters, timestamps and random-access points."""
+    string of tables, packets, counters, timestamps and random-access points. Null texts count as empty;
+    equal texts give equal values; texts of any length are taken whole; extra columns are ignored."""
     parsed = parse_media(to_media(docs))
     feature = F.concat_ws(
         ";",
