@@ -157,6 +157,8 @@ def test_personal_data(spark, empty):
 def test_personal_data_context(spark):
     row = pii.find(table(spark, [(1, "my phone is +1 202 555 0100"), (2, "xx yy zz +1 202 555 0100")])).orderBy("doc_id").collect()
     assert row[0].found[0].score > row[1].found[0].score
+    digest = pii.digest(pii.find(table(spark, [(1, "my phone is +1 202 555 0100, mail x@y.zz and a@b.cc"), (2, "q")]))).orderBy("doc_id").collect()
+    assert [(r.scores, r.n_nearby) for r in digest] == [("100,80,80", 2), ("", 0)] or [(r.scores, r.n_nearby) for r in digest] == [("100,100,80", 3), ("", 0)]
 
 
 # 4: fuzzy lines
@@ -273,6 +275,14 @@ def test_block_scheme():
         assert blocks - agree == lines.DISTANCE
 
 
+# 1 again: clashing columns
+
+
+def test_parsed_columns_replace_clashing_ones(odd):
+    media = mpegts.to_media(odd).withColumn("pes", F.lit("mine")).withColumn("packets", F.lit(-1))
+    assert all(r.pes >= 1 and r.packets > 0 for r in mpegts.parse_media(media).collect())
+
+
 # 5: SimHash
 
 
@@ -350,7 +360,7 @@ def test_bytes_pairs(spark, sf, odd, empty):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    texts = [r.text for r in documents(spark, sf).collect()] + [t for _, t in ODD] + ["a" * 999, "aaaaa hahahahaha 's's ' t", "\x1c\x85\xa0 x\u2003y"]
+    texts = [r.text for r in documents(spark, sf).collect()] + [t for _, t in ODD] + ["a" * 999, "a" * 2500 + " b", "".join(random.Random(3).choices("theanigr", k=4000)) + " tail", "z " + "日本語" * 700, "aaaaa hahahahaha 's's ' t", "\x1c\x85\xa0 x\u2003y"]
     docs = table(spark, list(enumerate(texts)))
     for r in bpe.encode(docs, path).join(docs.select("doc_id", F.col("text").alias("t")), "doc_id").collect():
         want = plain.encode(r.t or "", add_special_tokens=False).ids
@@ -491,6 +501,9 @@ def test_urls(spark):
     got = urls.judge(df).orderBy("page_id").collect()
     assert [(r.host, r.path, r.rule, r.verdict) for r in got] == [r[1:] for r in rows]
     assert urls.judge(df.limit(0)).collect() == []
+    own = spark.createDataFrame([("Nothing", 6), ("nothing", 1), ("free", 6), (None, 6), ("", 6), ("bonus", None)], "term string, weight int")
+    assert urls.read_vocabulary(own) == {"nothing": 6, "free": 6}
+    assert [r.verdict for r in urls.judge(df, vocabulary=own).orderBy("page_id").collect()][6:] == ["allow", "allow", "block", "block", "allow", "allow", "block"]
 
 
 # 10: mixing
