@@ -173,28 +173,34 @@ def _link_component(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"match_id": rows["match_id"].iloc[0], "i": [i[r] for r, _ in pairs], "j": [j[c] for _, c in pairs], "score": [weight[p] for p in pairs]})
 
 
-def _spread(edges: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """Smallest label over each side in turn: one round over a bipartite graph."""
-    low_i = edges.groupBy(*keys, "i").agg(F.min(label).alias("_l"))
-    edges = edges.join(low_i, [*keys, "i"]).withColumn(label, F.least(label, "_l")).drop("_l")
-    low_j = edges.groupBy(*keys, "j").agg(F.min(label).alias("_l"))
-    return edges.join(low_j, [*keys, "j"]).withColumn(label, F.least(label, "_l")).drop("_l")
+def _parts(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, node, label): the smallest node of each connected part of (keys, u, v).
+
+    Each round takes the smallest label of the neighbours and then the label of that label, so that what
+    a label skips doubles; it ends when no label moves.
+    """
+    both = materialize(edges.unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"))), "link-ends")
+    now = both.groupBy(*keys, F.col("u").alias("node")).agg(F.least(F.min("v"), F.min("u")).alias("label"))
+    while True:
+        now = materialize(now, "link-parts")
+        near = both.join(now.select(*keys, F.col("node").alias("v"), F.col("label").alias("near")), [*keys, "v"]).groupBy(*keys, F.col("u").alias("node")).agg(F.min("near").alias("near"))
+        step = now.join(near, [*keys, "node"]).select(*keys, "node", "label", F.least("label", "near").alias("low"))
+        up = step.select(*keys, F.col("node").alias("low"), F.col("low").alias("up"))
+        later = materialize(step.join(up, [*keys, "low"]).select(*keys, "node", "label", F.least("low", "up").alias("next")), "link-steps")
+        if later.filter("next < label").isEmpty():
+            return now
+        now = later.select(*keys, "node", F.col("next").alias("label"))
 
 
 def best_links(candidates: DataFrame) -> DataFrame:
     """One successor and predecessor at most for each tracklet: most links, then the best total score.
 
-    Connected parts of the candidate graph don't touch each other, so each is solved by itself.
+    Connected parts of the candidate graph don't touch each other, so each is solved by itself. A
+    tracklet as predecessor and as successor are two nodes.
     """
     keys = ["match_id", "class"]
-    edges = candidates.withColumn("label", F.col("i"))
-    seen = None
-    while True:
-        edges = materialize(_spread(edges, keys, "label"), "link-parts")
-        now = edges.agg(F.sum("label"), F.count("*")).first()
-        if now == seen:
-            break
-        seen = now
+    parts = _parts(candidates.select(*keys, (2 * F.col("i")).alias("u"), (2 * F.col("j") + 1).alias("v")), keys)
+    edges = candidates.withColumn("node", 2 * F.col("i")).join(parts, [*keys, "node"])
     schema = "match_id long, i long, j long, score double"
     return edges.groupBy(*keys, "label").applyInPandas(_link_component, schema)
 

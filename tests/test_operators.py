@@ -304,3 +304,13 @@ def test_homography_jump(spark):
     assert [r.jump for r in out] == [False, True, False, False]
     assert [r.h2 for r in out] == [5.0, pytest.approx(x1), pytest.approx(x2), pytest.approx(0.3 * 505 + 0.7 * x2)]
     assert homographies.coverage(raw, homographies.smooth(raw)).first().n_jumps == 1
+
+
+def test_parts_of_a_long_chain_need_few_rounds(spark, monkeypatch):
+    chain = [(1, "p", 2 * a, 2 * b + 1) for a, b in zip(range(100), range(100))] + [(1, "p", 2 * (a + 1), 2 * a + 1) for a in range(99)] + [(2, "p", 8, 3)]
+    rounds = []
+    real = tracklets.materialize
+    monkeypatch.setattr(tracklets, "materialize", lambda df, label: rounds.append(label) or real(df, label))
+    df = spark.createDataFrame(chain, "match_id long, class string, u long, v long")
+    got = tracklets._parts(df, ["match_id", "class"]).collect()
+    assert {(r.match_id, r.label) for r in got} == {(1, 0), (2, 3)} and len(got) == 202 and rounds.count("link-steps") < 12
