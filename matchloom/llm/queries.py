@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import bpe, hnsw, langid, licenses, lines, mixing, mpegts, pii, simhash, suffixes, turns, urls
+from matchloom.llm import bpe, hnsw, langid, licenses, lines, mixing, mpegts, phrases, pii, simhash, suffixes, turns, urls
 from matchloom.llm.common import documents
 
 
@@ -49,6 +49,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.repair_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -58,4 +62,4 @@ def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {name: f for name, f in sorted(globals().items(), key=lambda x: (len(x[0].split("_")[0]), x[0])) if name.startswith("op")}
-ORACLE = {"op3_personal_data": pii.ORACLE, "op9_url_filter": urls.oracle(), "op10_source_mix": mixing.ORACLE, "op12_conversation_repair": turns.ORACLE, "op13_license_scan": licenses.ORACLE}
+ORACLE = {"op3_personal_data": pii.ORACLE, "op9_url_filter": urls.oracle(), "op10_source_mix": mixing.ORACLE, "op11_phrase_mining": phrases.ORACLE, "op12_conversation_repair": turns.ORACLE, "op13_license_scan": licenses.ORACLE}
