@@ -1,11 +1,11 @@
 """Phrase collocation mining by multikey quicksort of suffix pointers.
 
-A text's pieces are suffixes of up to four words. Tasks over the texts add up equal suffixes of what they
-hold and route them by language and leading words to shards of bounded size. A shard sorts pointers to
-its suffixes by three-way partitions, one word at a time: the pointers equal to a pivot are all the
-places of one phrase, so their number is its count, and they alone go on to the next word. Partitions
-smaller than the least count are abandoned, which leaves out nearly all of the text. Counts of phrases
-are then joined and scored with DataFrame functions.
+Words are counted first, as phrases hold no rarer ones. A text's pieces then are suffixes of up to four
+words. Tasks over the texts add up equal suffixes of what they hold and route them by language and
+leading words to shards of bounded size. A shard sorts pointers to its suffixes by three-way partitions,
+one word at a time: the pointers equal to a pivot are all the places of one phrase, so their number is
+its count, and they alone go on to the next word. Partitions smaller than the least count are abandoned,
+which leaves out nearly all of the text. Counts of phrases are joined and scored with DataFrame functions.
 """
 
 from __future__ import annotations
@@ -29,10 +29,12 @@ REPORT = 2000
 UNKNOWN = "und"
 SCALE = 2_000_000
 #: Bytes of text whose suffixes make one shard, and suffixes from which a shard is split further.
-SHARD_BYTES, SPLIT_ROWS = 6 << 20, 4 << 20
+SHARD_BYTES, SPLIT_ROWS = 8 << 20, 4 << 20
 #: Words that a task holds before it adds up their suffixes and sends them off.
-HELD_WORDS = 3 << 20
+HELD_WORDS = 3 << 19
 SLICE = 1 << 20
+#: Bits of the map of frequent words that tasks look at, 1 MB whatever the number of words; a full one only saves nothing.
+SIEVE_BITS = 1 << 23
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 EMPTY, BREAK, FIRST = 0, 1, 2
 
@@ -64,41 +66,42 @@ class _Held:
             at = end
         self.parts.append(np.array([BREAK], np.int32))
 
-    def suffixes(self, last: bool):
-        """(words, rows of LONGEST places, counts, words read, carried words): equal suffixes once; single words have one
-        row more each, without a second word. The last places wait for what follows them."""
+    def counts(self) -> tuple[list[bytes], np.ndarray]:
+        """The words and how often each was read."""
+        n = np.bincount(np.concatenate(self.parts), minlength=len(self.words))
+        return list(self.words)[FIRST:], n[FIRST:]
+
+    def suffixes(self, frequent, last: bool):
+        """(words, rows of LONGEST places, counts, carried words): equal suffixes of two frequent words or more once. The last
+        places wait for what follows them."""
         ids = np.concatenate(self.parts)
+        self.parts = []
         texts = list(self.words)
         ready = len(ids) if last else max(0, len(ids) - LONGEST + 1)
         carried = [texts[i] for i in ids[ready:]]
-        padded = np.concatenate([ids, np.full(LONGEST, BREAK, np.int32)])
-        starts = np.flatnonzero(ids[:ready] >= FIRST)
-        counts = np.bincount(ids[starts], minlength=len(texts))
-        # Frequent words get small numbers, which pack well.
-        order = np.argsort(-counts, kind="stable")
-        rank = np.empty(len(texts), np.int32)
-        rank[order] = np.arange(len(texts))
-        place = np.full((len(starts), LONGEST), -1, np.int32)
-        inside = np.ones(len(starts), bool)
-        for k in range(LONGEST):
-            now = padded[starts + k]
-            inside &= now >= FIRST
-            place[inside, k] = rank[now[inside]]
-        read = len(place)
-        place = place[place[:, 1] >= 0]
-        wide = (place + 1).astype(np.uint64)
-        high, low = wide[:, 0] << np.uint64(32) | wide[:, 1], wide[:, 2] << np.uint64(32) | wide[:, 3]
+        n = np.bincount(ids, minlength=len(texts))
+        n[:FIRST] = 0
+        n[FIRST:] *= frequent(texts[FIRST:])
+        # Frequent words get small numbers, which pack well; rare words end a suffix as breaks do.
+        order = np.argsort(-n, kind="stable")[: np.count_nonzero(n)]
+        number = np.zeros(len(texts), np.uint64)
+        number[order] = np.arange(1, len(order) + 1, dtype=np.uint64)
+        word = np.concatenate([number[ids], np.zeros(LONGEST, np.uint64)])
+        starts = np.flatnonzero((word[:ready] > 0) & (word[1 : ready + 1] > 0))
+        high = word[starts] << np.uint64(32) | word[starts + 1]
+        third = word[starts + 2]
+        low = third << np.uint64(32) | np.where(third > 0, word[starts + 3], np.uint64(0))
         by = np.lexsort((low, high))
         high, low = high[by], low[by]
         new = np.ones(len(by), bool)
         new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
         first = np.flatnonzero(new)
-        seen = np.flatnonzero(counts)
-        single = np.full((len(seen), LONGEST), -1, np.int32)
-        single[:, 0] = rank[seen]
-        rows = np.concatenate([single, place[by[first]]])
-        times = np.concatenate([counts[seen], np.diff(np.append(first, len(by)))])
-        return [texts[i] for i in order], rows, times.astype(np.int64), read, carried
+        times = np.diff(np.append(first, len(by)))
+        rows = np.empty((len(first), LONGEST), np.int32)
+        for k, wide in enumerate((high[first], low[first])):
+            rows[:, 2 * k] = (wide >> np.uint64(32)).astype(np.int32) - 1
+            rows[:, 2 * k + 1] = (wide & np.uint64(0xFFFFFFFF)).astype(np.int32) - 1
+        return [texts[i] for i in order], rows, times.astype(np.int64), carried
 
 
 def pack(words: list[bytes], rows: np.ndarray, times: np.ndarray) -> bytes:
@@ -149,28 +152,45 @@ def _dealt(words, rows, times, to: np.ndarray):
 _ROUTES = pa.schema([("shard", pa.int64()), ("part", pa.int64()), ("lang", pa.string()), ("size", pa.int64()), ("blob", pa.binary())])
 
 
-def _route(shards: int, batches):
-    """Packed suffixes by shard; a row of shard -1 holds the number of words read."""
+def _read(batches, full):
+    """Read texts of (text, lang) into what is held by language; yield that whenever ``full`` words are held, and last, with
+    whether more may follow. The receiver empties it."""
     held: dict[str, _Held] = {}
-
-    def send(last: bool):
-        for lang in list(held):
-            words, rows, times, read, carried = held[lang].suffixes(last)
-            held[lang] = _Held(carried)
-            found = [(-1, read, b"")]
-            if len(rows):
-                found += _dealt(words, rows, times, (_hashes(words, rows, lang, 2) % np.uint64(shards)).astype(np.int64))
-            yield pa.record_batch([pa.array([f[0] for f in found]), pa.array([0] * len(found)), pa.array([lang] * len(found)), pa.array([f[1] for f in found]), pa.array([f[2] for f in found], pa.binary())], schema=_ROUTES)
-
     for batch in batches:
         offsets, data = utf8(batch.column(0))
-        langs = batch.column(1).to_pylist()
-        for lang, a, b in zip(langs, offsets[:-1], offsets[1:]):
+        for lang, a, b in zip(batch.column(1).to_pylist(), offsets[:-1], offsets[1:]):
             if a < b:
                 held.setdefault(lang, _Held()).add(bytes(data[a:b]))
-                if sum(h.size for h in held.values()) >= HELD_WORDS:
-                    yield from send(False)
-    yield from send(True)
+                if sum(h.size for h in held.values()) >= full:
+                    yield held, False
+    yield held, True
+
+
+def _tally(batches):
+    """Rows (lang, word, n) of the words of each part of the texts; a null word has the number of all words."""
+    for held, _ in _read(batches, HELD_WORDS):
+        for lang in list(held):
+            words, n = held.pop(lang).counts()
+            yield pa.record_batch([pa.array([lang] * (len(words) + 1)), pa.array([*words, None], pa.binary()).cast(pa.string()), pa.array([*n.tolist(), int(n.sum())])], names=["lang", "word", "n"])
+
+
+def _seen(bits: np.ndarray, lang: str, words: list[bytes]) -> np.ndarray:
+    """Whether each word may be frequent."""
+    seed = xxhash.xxh64_intdigest(lang.encode(), 42)
+    spot = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64) % np.uint64(SIEVE_BITS)
+    return (bits[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1
+
+
+def _route(shards: int, sieve, batches):
+    """Packed suffixes by shard."""
+    bits = np.frombuffer(sieve.value, np.uint8)
+    for held, last in _read(batches, HELD_WORDS):
+        for lang in list(held):
+            words, rows, times, carried = held.pop(lang).suffixes(lambda words: _seen(bits, lang, words), last)  # noqa: B023
+            if not last:
+                held[lang] = _Held(carried)
+            for shard, size, blob in _dealt(words, rows, times, (_hashes(words, rows, lang, 2) % np.uint64(shards)).astype(np.int64)):
+                yield pa.record_batch([pa.array([shard]), pa.array([0]), pa.array([lang]), pa.array([size]), pa.array([blob], pa.binary())], schema=_ROUTES)
 
 
 def _split(batches):
@@ -236,16 +256,11 @@ def _count(least: int, key, table: pa.Table) -> pa.Table:
     rows, times = np.concatenate(rows), np.concatenate(times)
     texts = list(words)
     whole = key[1].as_py() == 0
-    alone = rows[:, 1] < 0
-    single = np.zeros(len(texts), np.int64)
-    np.add.at(single, rows[alone, 0], times[alone])
-    ones = np.flatnonzero(single >= (least if whole else 1))
-    rows, times = rows[~alone], times[~alone]
-    # Of single words only those rows tell the count; here the first word has only to lead to the second.
     row, depth, total = partitions(rows, times, (least if whole else 1,) * (LONGEST - 1) + (least,))
+    # The places of the first word alone are those of its pairs in this shard.
     row, depth, total = (x[depth > 1] for x in (row, depth, total))
-    phrases = [texts[i] for i in ones] + [b" ".join([texts[i] for i in rows[r, :d]]) for r, d in zip(row, depth.tolist())]
-    return pa.table([pa.array([key[2].as_py()] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array([1] * len(ones) + depth.tolist(), pa.int32()), pa.array(np.concatenate([single[ones], total]))], schema=_COUNTS)
+    phrases = [b" ".join([texts[i] for i in rows[r, :d]]) for r, d in zip(row, depth.tolist())]
+    return pa.table([pa.array([key[2].as_py()] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(depth, pa.int32()), pa.array(total, pa.int64())], schema=_COUNTS)
 
 
 def counts(docs: DataFrame, least: int = LEAST, shard_bytes: int = SHARD_BYTES, split_rows: int = SPLIT_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -256,10 +271,16 @@ def counts(docs: DataFrame, least: int = LEAST, shard_bytes: int = SHARD_BYTES,
     """
     texts = docs.select("text", F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"))
     shards = max(1, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes))
+    words = texts.mapInArrow(_tally, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = materialize(words.filter(F.col("word").isNull() | (F.col("n") >= least)), "phrase-words")
+    totals, single = words.filter("word is null").select("lang", F.col("n").alias("total")), words.filter("word is not null")
+    spot = F.pmod(F.xxhash64("lang", "word"), F.lit(SIEVE_BITS))
+    held = single.select(spot.alias("spot")).groupBy(F.expr("spot div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot % 64 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(SIEVE_BITS // 64, np.int64)
+    bits[held["at"].to_numpy()] = held["bits"].to_numpy()
+    sieve = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
     routes = "shard long, part long, lang string, size long, blob binary"
-    routed = materialize(texts.mapInArrow(partial(_route, shards), routes), "phrase-routes")
-    totals = routed.filter("shard < 0").groupBy("lang").agg(F.sum("size").alias("total"))
-    dealt = routed.filter("shard >= 0")
+    dealt = materialize(texts.mapInArrow(partial(_route, shards, sieve), routes), "phrase-routes")
     large = dealt.groupBy("shard").agg(F.sum("size").alias("rows")).filter(F.col("rows") > split_rows)
     large = materialize(large.select("shard", F.ceil(F.col("rows") / (split_rows / 2)).cast("long").alias("parts")), "phrase-large")
     tally = lambda df: df.groupBy("shard", "part", "lang").applyInArrow(lambda key, table: _count(least, key, table), "lang string, phrase string, words int, n long")
@@ -269,7 +290,9 @@ def counts(docs: DataFrame, least: int = LEAST, shard_bytes: int = SHARD_BYTES,
         again = dealt.join(large, "shard").select("shard", "parts", "lang", "blob").mapInArrow(_split, routes)
         summed = tally(again).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
         found = tally(dealt.join(large, "shard", "left_anti")).unionByName(summed)
-    return materialize(found, "phrase-counts"), materialize(totals, "phrase-totals")
+    found = materialize(found, "phrase-counts")
+    release(dealt)
+    return found.unionByName(single.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "n")), totals
 
 
 def collocations(docs: DataFrame, least: int = LEAST, covered: int = COVERED, report: int = REPORT, shard_bytes: int = SHARD_BYTES, split_rows: int = SPLIT_ROWS) -> DataFrame:

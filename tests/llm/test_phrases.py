@@ -3,9 +3,11 @@
 import random
 import re
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from matchloom.llm import phrases
@@ -93,25 +95,33 @@ def test_odd_rows_and_small_shards(mixed):
 
 
 def test_a_text_sent_in_several_parts(mixed, monkeypatch):
-    """Suffixes reach over the places where a task sends off what it holds."""
-    rows, _ = mixed
+    """Suffixes reach over the places where a task sends off what it holds; rare words end them."""
+    rows = [(t, lang or "und") for t, lang in mixed[0][:120]]
     monkeypatch.setattr(phrases, "HELD_WORDS", 50)
     monkeypatch.setattr(phrases, "SLICE", 64)
-    import pyarrow as pa
-
-    found = Counter()
-    batch = pa.record_batch([pa.array([t for t, _ in rows[:120]]), pa.array([lang or "und" for _, lang in rows[:120]])], names=["text", "lang"])
-    for out in phrases._route(3, [batch]):
+    bits = np.full(phrases.SIEVE_BITS // 8, 255, np.uint8)
+    for lang in ("en", "de", "und"):
+        seed = phrases.xxhash.xxh64_intdigest(lang.encode(), 42)
+        spot = phrases.xxhash.xxh64_intdigest(b"w3", seed) % phrases.SIEVE_BITS
+        bits[spot // 8] &= ~np.uint8(1 << spot % 8)
+    sieve = SimpleNamespace(value=bits.tobytes())
+    batch = pa.record_batch([pa.array([t for t, _ in rows]), pa.array([lang for _, lang in rows])], names=["text", "lang"])
+    found, counted = Counter(), Counter()
+    for out in phrases._route(3, sieve, [batch]):
+        for r in out.to_pylist():
+            words, places, times = phrases.unpack(r["blob"])
+            for p, t in zip(places.tolist(), times.tolist()):
+                found[(r["lang"], *(words[i] for i in p if i >= 0))] += t
+    for out in phrases._tally([batch]):
         for r in out.to_pylist():
-            if r["shard"] >= 0:
-                words, places, times = phrases.unpack(r["blob"])
-                for p, t in zip(places.tolist(), times.tolist()):
-                    found[(r["lang"], "one", words[p[0]]) if p[1] < 0 else (r["lang"], *(words[i] for i in p if i >= 0))] += t
-    want = Counter()
-    for text, lang in rows[:120]:
+            counted[r["lang"], r["word"]] += r["n"]
+    want, single = Counter(), Counter()
+    for text, lang in rows:
         low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
         for piece in re.split("[.,;:!?\x0a-\x0d]", low):
-            w = [x.encode() for x in re.findall("[^\x20\x09]+", piece)]
-            want.update((lang or "und", *w[i : i + 4]) for i in range(len(w) - 1))
-            want.update((lang or "und", "one", x) for x in w)
-    assert found == want
+            w = re.findall("[^\x20\x09]+", piece)
+            single.update((lang, x) for x in [*w, *[None] * len(w)])
+            for run in " ".join(x if x != "w3" else "\n" for x in w).split("\n"):
+                w = [x.encode() for x in re.findall("[^\x20\x09]+", run)]
+                want.update((lang, *w[i : i + 4]) for i in range(len(w) - 1))
+    assert found == want and counted == single
