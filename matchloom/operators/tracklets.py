@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions.geometry import centre, distance, dot, iou
+from matchloom.operators import assignment
 from matchloom.operators.detections import BOX, FRAME
 from matchloom.sources.io import materialize
 
@@ -79,10 +79,10 @@ def drop_short(rows: DataFrame, keys: list[str], least: int = 20) -> DataFrame:
 
 def ends(rows: DataFrame, keys: list[str], window: int = 8) -> DataFrame:
     """Rows of the first and last ``window`` frames with ``head`` and ``tail`` flags, and the centre."""
-    up, down = Window.partitionBy(*keys).orderBy("frame_idx"), Window.partitionBy(*keys).orderBy(F.desc("frame_idx"))
+    nth, n = F.row_number().over(Window.partitionBy(*keys).orderBy("frame_idx")), F.count("*").over(Window.partitionBy(*keys))
     cx, cy = centre()
-    ranked = rows.withColumns({"head": F.row_number().over(up) <= window, "tail": F.row_number().over(down) <= window, "cx": cx, "cy": cy})
-    return ranked.filter("head or tail")
+    ranked = rows.withColumns({"_nth": nth, "_n": n}).withColumns({"head": F.col("_nth") <= window, "tail": F.col("_nth") > F.col("_n") - window})
+    return ranked.filter("head or tail").drop("_nth", "_n").withColumns({"cx": cx, "cy": cy})
 
 
 def motion_features(rows: DataFrame, keys: list[str], window: int = 8) -> DataFrame:
@@ -128,49 +128,9 @@ def link_candidates(tracklets: DataFrame, cfg: TrackingConfig = TrackingConfig()
 
 
 def assign(weight: np.ndarray) -> list[tuple[int, int]]:
-    """Most pairs first, then the largest total weight; -inf forbids a pair.
-
-    Successive shortest augmenting paths: every path adds one pair at the least cost, so that each
-    number of pairs is reached at its best total.
-    """
-    n, m = weight.shape
-    cost = np.where(np.isfinite(weight), -weight, np.inf)
-    row_of, col_of = np.full(m, -1), np.full(n, -1)
-    while True:
-        # Bellman-Ford over the columns: the residual graph has negative edges.
-        dist, via = np.full(m, np.inf), np.full(m, -1)
-        free = np.flatnonzero(col_of < 0)
-        if len(free):
-            best = cost[free].argmin(axis=0)
-            dist, via = cost[free].min(axis=0), free[best]
-        for _ in range(m):
-            held = np.flatnonzero((row_of >= 0) & np.isfinite(dist))
-            if not len(held):
-                break
-            step = dist[held, None] - cost[row_of[held], held][:, None] + cost[row_of[held]]
-            k = step.argmin(axis=0)
-            new = step[k, np.arange(m)]
-            better = new < dist - 1e-12
-            if not better.any():
-                break
-            dist[better], via[better] = new[better], row_of[held[k[better]]]
-        ends_ = np.flatnonzero((row_of < 0) & np.isfinite(dist))
-        if not len(ends_):
-            break
-        c = int(ends_[dist[ends_].argmin()])
-        while c >= 0:
-            r = int(via[c])
-            c, previous = int(col_of[r]), c
-            col_of[r], row_of[previous] = previous, r
-    return [(int(r), int(c)) for r, c in enumerate(col_of) if c >= 0]
-
-
-def _link_component(rows: pd.DataFrame) -> pd.DataFrame:
-    i, j = np.unique(rows["i"]), np.unique(rows["j"])
-    weight = np.full((len(i), len(j)), -np.inf)
-    weight[np.searchsorted(i, rows["i"]), np.searchsorted(j, rows["j"])] = rows["score"]
-    pairs = assign(weight)
-    return pd.DataFrame({"match_id": rows["match_id"].iloc[0], "i": [i[r] for r, _ in pairs], "j": [j[c] for _, c in pairs], "score": [weight[p] for p in pairs]})
+    """Most pairs first, then the largest total weight, of a matrix; -inf forbids a pair."""
+    rows, cols = np.nonzero(np.isfinite(weight))
+    return [(i, j) for i, j, _ in assignment.assign(list(zip(rows.tolist(), cols.tolist(), weight[rows, cols].tolist())))[0]]
 
 
 def _parts(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -192,17 +152,28 @@ def _parts(edges: DataFrame, keys: list[str]) -> DataFrame:
         now = later.select(*keys, "node", F.col("next").alias("label"))
 
 
-def best_links(candidates: DataFrame) -> DataFrame:
-    """One successor and predecessor at most for each tracklet: most links, then the best total score.
+def priced_links(candidates: DataFrame) -> DataFrame:
+    """Every candidate with whether it is one of the best links and the prices that prove it.
 
     Connected parts of the candidate graph don't touch each other, so each is solved by itself. A
     tracklet as predecessor and as successor are two nodes.
     """
     keys = ["match_id", "class"]
     parts = _parts(candidates.select(*keys, (2 * F.col("i")).alias("u"), (2 * F.col("j") + 1).alias("v")), keys)
-    edges = candidates.withColumn("node", 2 * F.col("i")).join(parts, [*keys, "node"])
-    schema = "match_id long, i long, j long, score double"
-    return edges.groupBy(*keys, "label").applyInPandas(_link_component, schema)
+    return assignment.priced_links(candidates, parts.filter("node % 2 = 0").select(*keys, F.expr("node div 2").alias("i"), "label"))
+
+
+def best_links(candidates: DataFrame) -> DataFrame:
+    """One successor and predecessor at most for each tracklet: most links, then the best total score."""
+    return priced_links(candidates).filter("chosen").select("match_id", "i", "j", "score")
+
+
+def mutual_links(candidates: DataFrame) -> DataFrame:
+    """A cheaper, local choice: j is the best successor of i and i the best predecessor of j; scores that are equal to
+    nine digits are ties and go by the smaller id."""
+    best = lambda mine, other: F.row_number().over(Window.partitionBy("match_id", "class", mine).orderBy(F.desc(F.round("score", 9)), other))
+    ranked = candidates.withColumns({"_i": best("i", "j"), "_j": best("j", "i")})
+    return ranked.filter("_i = 1 and _j = 1").select("match_id", "i", "j", "score")
 
 
 def identities(tracklets: DataFrame, links: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
 
-from matchloom.operators import detections, teams, tracklets
+from matchloom.operators import assignment, detections, teams, tracklets
 from matchloom.plans.registry import iou_sql, project_sql, register
+from matchloom.sources import io
 
 FRAME = detections.FRAME
 ISLANDS = """, r AS (SELECT *, CASE WHEN frame_idx <> lag(frame_idx) OVER w + 1 THEN 1 ELSE 0 END AS new FROM raw_tracks WINDOW w AS (PARTITION BY match_id, raw_track_id ORDER BY frame_idx)),
@@ -90,10 +93,8 @@ mean AS (SELECT match_id, tracklet_id, pos, avg(v) FILTER (head) AS h, avg(v) FI
 
 
 def features(t):
-    from matchloom.sources.io import materialize
-
     keys = ["match_id", "tracklet_id"]
-    r = materialize(kept(t), "tracklet-rows")
+    r = io.materialize(kept(t), "tracklet-rows")
     motion = tracklets.motion_features(r, keys)
     vectors = tracklets.mean_vectors(r, keys, t.file("embeddings").select("vec_id", "embedding"))
     return motion.join(vectors, keys, "left").join(r.select(*keys, "class").distinct(), keys)
@@ -125,31 +126,74 @@ def _(t):
 
 
 def linked(t):
-    from matchloom.sources.io import materialize
+    """Tracklets and their priced candidates, written once for an application and directory; later queries read them."""
+    base = f"{io.shared_folder(t.spark)}/matchloom/links-{t.spark.sparkContext.applicationId}-{zlib.crc32(t.sf_dir.encode())}"
+    lets = io.load_or_build(t.spark, [f"{base}-tracklets"], lambda: [features(t)])[0]
+    priced = io.load_or_build(t.spark, [f"{base}-priced"], lambda: [tracklets.priced_links(io.materialize(tracklets.link_candidates(lets), "links"))])[0]
+    return lets, priced
+
 
-    f = materialize(features(t), "tracklets")
-    return f, tracklets.best_links(materialize(tracklets.link_candidates(f), "links"))
+def chains(t):
+    lets, priced = linked(t)
+    return tracklets.identities(lets, priced.filter("chosen").select("match_id", "i", "j", "score"))
 
 
 @register("k10_best_links")
 def _(t):
-    return linked(t)[1]
+    return linked(t)[1].filter("chosen").select("match_id", "i", "j", "score")
+
+
+#: What DuckDB knows of the candidates, and zeros: no price too low, none negative, no end with two links, no gap between both sums.
+@register("k10_certificate", "raw_tracks", LINKS + """, c AS (SELECT * FROM links WHERE score >= 0.3),
+tally AS (SELECT match_id, class, count(*) AS n_candidates, sum(score) AS all_scores, count(DISTINCT i) + count(DISTINCT j) AS n_ends FROM c GROUP BY ALL)
+  --- SELECT match_id, class, n_candidates, n_ends, all_scores, 0::BIGINT AS n_cheap, 0::BIGINT AS n_negative, 0::BIGINT AS n_shared, 0.0::DOUBLE AS gap FROM tally""", "all_scores gap", 5)
+def _(t):
+    return assignment.certificate(linked(t)[1]).drop("n_links")
 
 
 @register("k11_identity_chains")
 def _(t):
-    ids = tracklets.identities(*linked(t))
-    return ids.groupBy("match_id", "track_id").agg(F.count("*").alias("n"))
+    return chains(t).groupBy("match_id", "track_id").agg(F.count("*").alias("n"))
 
 
 @register("k12_track_numbers")
 def _(t):
-    return tracklets.identities(*linked(t)).select("match_id", "tracklet_id", "track_id", "class")
+    return chains(t).select("match_id", "tracklet_id", "track_id", "class")
 
 
 @register("k13_identity_report")
 def _(t):
-    return tracklets.identity_report(tracklets.identities(*linked(t)))
+    return tracklets.identity_report(chains(t))
+
+
+#: Chains over links that SQL can choose too; a recursive walk from each tracklet without a predecessor.
+CHAINS = LINKS + """, c AS (SELECT * FROM links WHERE score >= 0.3),
+m AS (SELECT match_id, i, j FROM c QUALIFY row_number() OVER (PARTITION BY match_id, class, i ORDER BY round(score, 9) DESC, j) = 1 AND row_number() OVER (PARTITION BY match_id, class, j ORDER BY round(score, 9) DESC, i) = 1),
+k(match_id, head, tracklet_id) AS (SELECT match_id, tracklet_id, tracklet_id FROM motion f WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.match_id = f.match_id AND m.j = f.tracklet_id)
+  UNION ALL SELECT r.match_id, r.head, m.j FROM k r JOIN m ON m.match_id = r.match_id AND m.i = r.tracklet_id),
+ids AS (SELECT k.match_id, k.tracklet_id, k.head, dense_rank() OVER (PARTITION BY k.match_id ORDER BY f.start_frame, k.head) AS track_id, f.class FROM k JOIN motion f ON f.match_id = k.match_id AND f.tracklet_id = k.head),
+n AS (SELECT match_id, track_id, count(*) AS n, any_value(class) AS class FROM ids GROUP BY ALL)"""
+
+
+def mutual_chains(t):
+    lets = linked(t)[0]
+    return tracklets.identities(lets, tracklets.mutual_links(tracklets.link_candidates(lets)))
+
+
+@register("k11_chains_of_mutual_links", "raw_tracks", CHAINS + " --- SELECT match_id, tracklet_id, head FROM ids")
+def _(t):
+    return mutual_chains(t).select("match_id", "tracklet_id", "head")
+
+
+@register("k12_numbers_of_mutual_links", "raw_tracks", CHAINS + " --- SELECT match_id, tracklet_id, track_id, class FROM ids")
+def _(t):
+    return mutual_chains(t).select("match_id", "tracklet_id", "track_id", "class")
+
+
+@register("k13_report_of_mutual_links", "raw_tracks", CHAINS + """ --- SELECT match_id, count(*) FILTER (n = 1) AS chains_1, count(*) FILTER (n = 2) AS chains_2, count(*) FILTER (n >= 3) AS chains_3,
+  count(*) FILTER (class = 'player') AS n_player, count(*) FILTER (class = 'goalkeeper') AS n_goalkeeper, count(*) FILTER (class = 'referee') AS n_referee, count(*) FILTER (class = 'goalkeeper') > 2 AS over_goalkeeper, count(*) FILTER (class = 'referee') > 3 AS over_referee FROM n GROUP BY match_id""")
+def _(t):
+    return tracklets.identity_report(mutual_chains(t))
 
 
 @register("k14_attach_ball", "detections", """, b AS (SELECT match_id, frame_idx, min_by(x1, det_id) AS bx, min_by(conf, det_id) AS bc FROM detections WHERE class = 'ball' GROUP BY ALL)
@@ -190,10 +234,8 @@ def _(t):
 
 
 def clusters(t):
-    from matchloom.sources.io import materialize
-
     sample = teams.calibration_sample(t.track_vectors, t.track_role).join(t.file("embeddings").select("vec_id", "embedding"), "vec_id")
-    return materialize(teams.calibrate(sample), "kits")
+    return io.materialize(teams.calibrate(sample), "kits")
 
 
 @register("a03_kit_clusters")

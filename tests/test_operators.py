@@ -1,6 +1,7 @@
 """Edge cases on small tables and sequential helpers against plain models."""
 
 import itertools
+import time
 
 import numpy as np
 import pandas as pd
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchloom.functions import geometry
-from matchloom.operators import ball, carrier, detections, frames, homographies, passes, pressing, teams, tracklets
+from matchloom.operators import assignment, ball, carrier, detections, frames, homographies, passes, pressing, teams, tracklets
 from matchloom.sources import io
 
 BALL = "match_id long, frame_idx long, ball_source string, ball_pitch_x double, ball_pitch_y double, carrier_track_id long, carrier_team long, possession_team long"
@@ -314,3 +315,33 @@ def test_parts_of_a_long_chain_need_few_rounds(spark, monkeypatch):
     df = spark.createDataFrame(chain, "match_id long, class string, u long, v long")
     got = tracklets._parts(df, ["match_id", "class"]).collect()
     assert {(r.match_id, r.label) for r in got} == {(1, 0), (2, 3)} and len(got) == 202 and rounds.count("link-steps") < 12
+
+
+def test_sparse_assignment_and_its_prices():
+    """Equal to exhaustive search, with ties; prices cover every edge and sum to the worth of the links."""
+    rng = np.random.default_rng(5)
+    for turn in range(300):
+        w = rng.random((rng.integers(1, 5), rng.integers(1, 5))) if turn % 2 else rng.integers(0, 4, (rng.integers(1, 5), rng.integers(1, 5))) / 3 - 0.5
+        w[rng.random(w.shape) < 0.45] = -np.inf
+        edges = [(10 + int(r), 20 + int(c), float(w[r, c])) for r, c in zip(*np.nonzero(np.isfinite(w)))]
+        chosen, of_i, of_j, bonus = assignment.assign(edges)
+        assert len({i for i, _, _ in chosen}) == len({j for _, j, _ in chosen}) == len(chosen) and set(chosen) <= {(i, j, round(s * assignment.UNIT) / assignment.UNIT) for i, j, s in edges}
+        assert (len(chosen), sum(s for *_, s in chosen)) == pytest.approx(best_by_force(w))
+        assert all(of_i[i] + of_j[j] >= bonus + s - 1e-9 for i, j, s in edges) and min([0, *of_i.values(), *of_j.values()]) == 0
+        assert sum(of_i.values()) + sum(of_j.values()) == pytest.approx(sum(bonus + s for *_, s in chosen))
+
+
+def test_large_part_is_solved_in_seconds():
+    rng = np.random.default_rng(6)
+    n = 5000
+    edges = [(i, int(j), float(s)) for i in range(n) for j, s in zip(np.unique(np.clip(i + rng.integers(-60, 60, 10), 0, n - 1)), 0.3 + 0.7 * rng.random(10))]
+    began = time.process_time()
+    chosen, of_i, of_j, bonus = assignment.assign(edges)
+    assert time.process_time() - began < 10
+    assert sum(of_i.values()) + sum(of_j.values()) == pytest.approx(sum(bonus + s for *_, s in chosen))
+
+
+def test_too_large_part_is_an_error(monkeypatch):
+    monkeypatch.setattr(assignment, "MAX_EDGES", 2)
+    with pytest.raises(ValueError, match="more than 2"):
+        assignment._solve(pd.DataFrame({"match_id": [1] * 3, "i": [1, 2, 3], "j": [1, 2, 3], "score": [0.5] * 3}))
