@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions.geometry import PITCH_LENGTH, PITCH_WIDTH
 from matchloom.operators.detections import FRAME
+from matchloom.operators.intervals import nearest
 
 
 @dataclass(frozen=True)
@@ -165,12 +166,10 @@ def trailing_velocity(ball: DataFrame, frames: int = 5, fps: float = 25.0) -> Da
 
 def nearest_position(wanted: DataFrame, players: DataFrame, reach: int = 5) -> DataFrame:
     """Place of (match_id, track_id, frame_idx) or of the nearest frame within ``reach``, the earlier on a
-    tie. Candidate frames are listed, so that the join is by equality."""
+    tie."""
     asked = wanted.select(*FRAME, "track_id").distinct()
-    near = asked.withColumn("f", F.explode(F.sequence(F.col("frame_idx") - reach, F.col("frame_idx") + reach)))
-    known = players.filter("pitch_x is not null").select("match_id", "track_id", F.col("frame_idx").alias("f"), "pitch_x", "pitch_y")
-    found = near.join(known, ["match_id", "track_id", "f"]).groupBy(*FRAME, "track_id").agg(F.min_by(F.struct("pitch_x", "pitch_y"), F.struct(F.abs(F.col("f") - F.col("frame_idx")), F.col("f"))).alias("p"))
-    return asked.join(found, [*FRAME, "track_id"], "left").select(*FRAME, "track_id", F.col("p.pitch_x").alias("near_x"), F.col("p.pitch_y").alias("near_y"))
+    known = players.filter("pitch_x is not null").select(*FRAME, "track_id", F.col("pitch_x").alias("near_x"), F.col("pitch_y").alias("near_y"))
+    return nearest(asked, known, ["match_id", "track_id"], "frame_idx", ["near_x", "near_y"], reach).select(*FRAME, "track_id", "near_x", "near_y")
 
 
 def shot_angle(rows: DataFrame) -> DataFrame:

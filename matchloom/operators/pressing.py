@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions.geometry import PITCH_LENGTH, distance
 from matchloom.operators.detections import FRAME, spine
+from matchloom.operators.intervals import interval_join
 
 RADIUS_M, HIGH_LINE_M, CONVERGING = 15.0, 35.0, 3
 
@@ -62,12 +63,19 @@ def frame_phases(ball: DataFrame, spells: DataFrame) -> DataFrame:
     at = lambda f, s, e: F.struct(F.col(f).alias("frame_idx"), s.alias("s"), e.alias("e"))
     marks = spells.select("match_id", F.inline(F.array(at("start_frame", F.col("phase"), none), at("end_frame", none, F.col("phase")))))
     marks = marks.groupBy(*FRAME).agg(F.max("s").alias("s"), F.max("e").alias("e"))
-    w = Window.partitionBy("match_id").orderBy("frame_idx")
+    # Looking on is looking back in the opposite order, which runs in one pass.
+    seen = lambda c, order: F.last(c, ignorenulls=True).over(Window.partitionBy("match_id").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     rows = spine(ball).join(marks, FRAME, "left")
-    rows = rows.withColumns({"back": F.last("s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "on": F.first("e", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    rows = rows.withColumn("back", seen("s", F.col("frame_idx"))).withColumn("on", seen("e", F.col("frame_idx").desc()))
     return rows.select(*FRAME, F.when(F.col("back") == F.col("on"), F.col("back")).alias("phase"))
 
 
+def frames_in_spells(frames: DataFrame, spells: DataFrame) -> DataFrame:
+    """(match_id, frame_idx, phase, frames_in) for each spell around each frame; spells may overlap."""
+    inside = interval_join(frames.select(*FRAME), spells.select("match_id", "phase", "start_frame", "end_frame"), ["match_id"], "frame_idx", "start_frame", "end_frame")
+    return inside.select(*FRAME, "phase", (F.col("frame_idx") - F.col("start_frame")).alias("frames_in"))
+
+
 def press_frames(players: DataFrame, ball: DataFrame) -> DataFrame:
     """Every frame with the defending team's line, its converging players and whether it presses; the
     reason is given where that can't be told."""
@@ -85,10 +93,14 @@ def press_frames(players: DataFrame, ball: DataFrame) -> DataFrame:
     )
 
 
+#: The spread of a column: what a description of it holds beside the count.
+DESCRIBE = (("mean", F.avg), ("std", F.stddev), ("min", F.min), *((f"p{q}", lambda c, q=q: F.percentile(c, F.lit(q / 100))) for q in (25, 50, 75)), ("max", F.max))
+
+
 def press_report(frames: DataFrame) -> DataFrame:
     share = lambda c: F.avg(F.col(c).cast("int"))
     return frames.groupBy("match_id").agg(
         F.count("*").alias("n_frames"), *(F.count_if(F.col("reason") == r).alias(f"n_{r}") for r in ("no_phase", "no_frame_data")), F.count_if(F.col("reason").isNull()).alias("n_decided"),
         F.count_if("team_press_trigger_raw").alias("n_triggers"), share("team_press_trigger_raw").alias("trigger_rate"), share("line_pushed_up").alias("pushed_rate"), share("numbers_converging").alias("converging_rate"),
-        *(f(c).alias(f"{c}_{n}") for c in ("line_height_m", "n_converging") for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))),
+        *(f(c).alias(f"{c}_{n}") for c in ("line_height_m", "n_converging") for n, f in DESCRIBE),
     )

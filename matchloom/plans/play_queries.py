@@ -210,11 +210,14 @@ NEAREST = """, asked AS (SELECT DISTINCT match_id, frame_idx, track_id FROM (SEL
 place AS (SELECT a.match_id, a.frame_idx, a.track_id, first(p.pitch_x ORDER BY abs(p.frame_idx - a.frame_idx), p.frame_idx) AS near_x, first(p.pitch_y ORDER BY abs(p.frame_idx - a.frame_idx), p.frame_idx) AS near_y FROM asked a LEFT JOIN player_frame p ON p.match_id = a.match_id AND p.track_id = a.track_id AND p.frame_idx BETWEEN a.frame_idx - 5 AND a.frame_idx + 5 AND p.pitch_x IS NOT NULL GROUP BY a.match_id, a.frame_idx, a.track_id)"""
 
 
+def asked_places(t):
+    s = materialize(simple(t), "passes")
+    return s.select("match_id", F.col("pass_frame").alias("frame_idx"), F.col("passer_id").alias("track_id")).unionByName(s.select("match_id", F.col("receive_frame").alias("frame_idx"), F.col("receiver_id").alias("track_id")))
+
+
 @register("p14_nearest_position", "ball_frame player_frame", STRICT + NEAREST + " --- SELECT * FROM place", "near_x near_y")
 def _(t):
-    s = materialize(simple(t), "passes")
-    asked = s.select("match_id", F.col("pass_frame").alias("frame_idx"), F.col("passer_id").alias("track_id")).unionByName(s.select("match_id", F.col("receive_frame").alias("frame_idx"), F.col("receiver_id").alias("track_id")))
-    return passes.nearest_position(asked, t.player_frame)
+    return passes.nearest_position(asked_places(t), t.player_frame)
 
 
 ANGLE = "CASE WHEN sqrt(vx * vx + vy * vy) * sqrt(gx * gx + gy * gy) > 0 THEN degrees(acos(greatest(-1.0, least(1.0, (vx * gx + vy * gy) / (sqrt(vx * vx + vy * vy) * sqrt(gx * gx + gy * gy)))))) END"
@@ -301,6 +304,18 @@ def _(t):
     return pressing.frame_phases(t.ball_frame, pressing.phases(t.ball_frame))
 
 
+#: Every spell as seen from 40 frames before it starts to 40 after it ends, so that neighbours overlap.
+@register("r04_frames_in_overlapping_spells", "ball_frame", LOOKUP + " --- SELECT b.match_id, b.frame_idx, p.phase, b.frame_idx - (p.start_frame - 40) AS frames_in FROM ball_frame b JOIN phases p ON p.match_id = b.match_id AND b.frame_idx BETWEEN p.start_frame - 40 AND p.end_frame + 40")
+def _(t):
+    wide = pressing.phases(t.ball_frame).withColumns({"start_frame": F.col("start_frame") - 40, "end_frame": F.col("end_frame") + 40})
+    return pressing.frames_in_spells(t.ball_frame, wide)
+
+
+@register("p14_nearest_position_far", "ball_frame player_frame", STRICT + NEAREST.replace("- 5", "- 500").replace("+ 5", "+ 500") + " --- SELECT * FROM place", "near_x near_y")
+def _(t):
+    return passes.nearest_position(asked_places(t), t.player_frame, reach=500)
+
+
 PRESS = LOOKUP + LINES + CONVERGE + """, pr AS (SELECT f.match_id, f.frame_idx, f.defending_team, line_height_m, n_converging, n_in_radius, CASE WHEN defending_team IS NULL THEN 'no_phase' WHEN line_height_m IS NULL OR n_converging IS NULL THEN 'no_frame_data' END AS reason
   FROM fp f LEFT JOIN lines l ON l.match_id = f.match_id AND l.frame_idx = f.frame_idx AND l.team = f.defending_team LEFT JOIN conv c ON c.match_id = f.match_id AND c.frame_idx = f.frame_idx AND c.team = f.defending_team),
 press AS (SELECT *, CASE WHEN reason IS NULL THEN line_height_m >= 35 END AS line_pushed_up, CASE WHEN reason IS NULL THEN n_converging >= 3 END AS numbers_converging, coalesce(reason IS NULL AND line_height_m >= 35 AND n_converging >= 3, false) AS team_press_trigger_raw FROM pr)"""
@@ -312,6 +327,6 @@ def _(t):
 
 
 @register("r06_press_report", "ball_frame player_frame", PRESS + """ --- SELECT match_id, count(*) AS n_frames, count(*) FILTER (reason = 'no_phase') AS n_no_phase, count(*) FILTER (reason = 'no_frame_data') AS n_no_frame_data, count(*) FILTER (reason IS NULL) AS n_decided, count(*) FILTER (team_press_trigger_raw) AS n_triggers,
-  avg(team_press_trigger_raw::INT) AS trigger_rate, avg(line_pushed_up::INT) AS pushed_rate, avg(numbers_converging::INT) AS converging_rate, avg(line_height_m) AS line_height_m_mean, min(line_height_m) AS line_height_m_min, max(line_height_m) AS line_height_m_max, avg(n_converging) AS n_converging_mean, min(n_converging) AS n_converging_min, max(n_converging) AS n_converging_max FROM press GROUP BY match_id""", "trigger_rate pushed_rate converging_rate line_height_m_mean line_height_m_min line_height_m_max n_converging_mean")
+  avg(team_press_trigger_raw::INT) AS trigger_rate, avg(line_pushed_up::INT) AS pushed_rate, avg(numbers_converging::INT) AS converging_rate, avg(line_height_m) AS line_height_m_mean, stddev(line_height_m) AS line_height_m_std, min(line_height_m) AS line_height_m_min, quantile_cont(line_height_m, 0.25) AS line_height_m_p25, quantile_cont(line_height_m, 0.5) AS line_height_m_p50, quantile_cont(line_height_m, 0.75) AS line_height_m_p75, max(line_height_m) AS line_height_m_max, avg(n_converging) AS n_converging_mean, stddev(n_converging) AS n_converging_std, min(n_converging) AS n_converging_min, quantile_cont(n_converging, 0.25) AS n_converging_p25, quantile_cont(n_converging, 0.5) AS n_converging_p50, quantile_cont(n_converging, 0.75) AS n_converging_p75, max(n_converging) AS n_converging_max FROM press GROUP BY match_id""", "trigger_rate pushed_rate converging_rate line_height_m_mean line_height_m_std line_height_m_min line_height_m_p25 line_height_m_p50 line_height_m_p75 line_height_m_max n_converging_mean n_converging_std n_converging_p25 n_converging_p50 n_converging_p75")
 def _(t):
     return pressing.press_report(pressing.press_frames(t.player_frame, t.ball_frame))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchloom.functions import geometry
-from matchloom.operators import assignment, ball, carrier, detections, frames, homographies, passes, pressing, teams, tracklets
+from matchloom.operators import assignment, ball, carrier, detections, frames, homographies, intervals, passes, pressing, teams, tracklets
 from matchloom.sources import io
 
 BALL = "match_id long, frame_idx long, ball_source string, ball_pitch_x double, ball_pitch_y double, carrier_track_id long, carrier_team long, possession_team long"
@@ -345,3 +345,28 @@ def test_too_large_part_is_an_error(monkeypatch):
     monkeypatch.setattr(assignment, "MAX_EDGES", 2)
     with pytest.raises(ValueError, match="more than 2"):
         assignment._solve(pd.DataFrame({"match_id": [1] * 3, "i": [1, 2, 3], "j": [1, 2, 3], "score": [0.5] * 3}))
+
+
+def test_interval_join_equals_nested_loop(spark):
+    rng = np.random.default_rng(8)
+    spells = [(int(m), k, int(s), int(s + n)) for k, (m, s, n) in enumerate(zip(rng.integers(0, 3, 400), rng.integers(-300, 900, 400), rng.choice([0, 0, 1, 2, 7, 8, 9, 60, 700, 5000, -3], 400)))]
+    spells += [(1, 900, None, 5), (1, 901, 5, None), (1, 902, 10, 20), (1, 903, 10, 20), (1, 904, 0, 1 << 40)]
+    points = [(int(m), int(f)) for m, f in zip(rng.integers(0, 4, 300), rng.integers(-400, 1000, 300))] + [(1, None), (1, 15), (1, 15)]
+    p, s = spark.createDataFrame(points, "m long, f long"), spark.createDataFrame(spells, "m long, k long, a long, b long")
+    out = intervals.interval_join(p, s, ["m"], "f", "a", "b")
+    want = sorted((m, f, k) for m, f in points for n, k, a, b in spells if f is not None and None not in (a, b) and m == n and a <= f <= b)
+    assert sorted((r.m, r.f, r.k) for r in out.collect()) == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    assert intervals.interval_join(p, s.filter("k < 0"), ["m"], "f", "a", "b").count() == 0
+
+
+def test_nearest_equals_search(spark):
+    rng = np.random.default_rng(9)
+    known = sorted({(int(k), int(f)) for k, f in zip(rng.integers(0, 3, 60), rng.integers(0, 300, 60))})
+    asked = sorted({(int(k), int(f)) for k, f in zip(rng.integers(0, 4, 200), rng.integers(-20, 330, 200))})
+    k, a = spark.createDataFrame([(*x, 1000 * x[0] + x[1]) for x in known], "k long, f long, v long"), spark.createDataFrame(asked, "k long, f long")
+    for reach in (0, 5, 500):
+        got = {(r.k, r.f): r.v for r in intervals.nearest(a, k, ["k"], "f", ["v"], reach).collect()}
+        want = {(i, f): min(((abs(g - f), g) for j, g in known if j == i and abs(g - f) <= reach), default=None) for i, f in asked}
+        assert got == {x: None if w is None else 1000 * x[0] + w[1] for x, w in want.items()}
