@@ -1,11 +1,11 @@
 """Phrase collocation mining by multikey quicksort of suffix pointers.
 
-Words are counted first, as phrases hold no rarer ones. A text's pieces then are suffixes of up to four
-words. Tasks over the texts add up equal suffixes of what they hold and route them by language and
-leading words to shards of bounded size. A shard sorts pointers to its suffixes by three-way partitions,
-one word at a time: the pointers equal to a pivot are all the places of one phrase, so their number is
-its count, and they alone go on to the next word. Partitions smaller than the least count are abandoned,
-which leaves out nearly all of the text. Counts of phrases are joined and scored with DataFrame functions.
+Words, and hashes of pairs of words, are counted first, as a phrase holds no rarer ones. A text's pieces
+then are suffixes of up to four words that end before a rare pair. Tasks over the texts add up equal
+suffixes of what they hold and route them by language and leading words to shards of bounded size. A shard
+sorts pointers to its suffixes by three-way partitions, one word at a time: the pointers equal to a pivot are
+all the places of one phrase, so their number is its count, and they alone go on to the next word. Partitions
+smaller than the least count are abandoned. Counts of phrases are joined and scored with DataFrame functions.
 """
 
 from __future__ import annotations
@@ -28,13 +28,15 @@ COVERED = 80
 REPORT = 2000
 UNKNOWN = "und"
 SCALE = 2_000_000
-#: Bytes of text whose suffixes make one shard, and suffixes from which a shard is split further.
-SHARD_BYTES, SPLIT_ROWS = 8 << 20, 4 << 20
-#: Words that a task holds before it adds up their suffixes and sends them off.
+#: Bytes of text whose words and pairs make one shard of the first counts; suffixes of one shard of the second, and from which
+#: it is split further.
+SHARD_BYTES, SHARD_ROWS, SPLIT_ROWS = 8 << 20, 1 << 20, 4 << 20
+#: Words that a task holds before it adds up what it has and sends it off.
 HELD_WORDS = 3 << 19
 SLICE = 1 << 20
-#: Bits of the map of frequent words that tasks look at, 1 MB whatever the number of words; a full one only saves nothing.
-SIEVE_BITS = 1 << 23
+#: Bits of a pair's hash, and of the map of frequent pairs that tasks look at: 16 MB whatever the number of pairs. Pairs that
+#: share either only save less; what they let through is counted exactly.
+PAIR_BITS, SIEVE_BITS = 40, 27
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 EMPTY, BREAK, FIRST = 0, 1, 2
 
@@ -66,31 +68,41 @@ class _Held:
             at = end
         self.parts.append(np.array([BREAK], np.int32))
 
-    def counts(self) -> tuple[list[bytes], np.ndarray]:
-        """The words and how often each was read."""
-        n = np.bincount(np.concatenate(self.parts), minlength=len(self.words))
-        return list(self.words)[FIRST:], n[FIRST:]
-
-    def suffixes(self, frequent, last: bool):
-        """(words, rows of LONGEST places, counts, carried words): equal suffixes of two frequent words or more once. The last
-        places wait for what follows them."""
-        ids = np.concatenate(self.parts)
+    def hashes(self, lang: str) -> np.ndarray:
+        """A hash of each word of the language."""
+        seed = xxhash.xxh64_intdigest(lang.encode(), 42)
+        return np.array([xxhash.xxh64_intdigest(w, seed) for w in self.words], np.uint64)
+
+    def counts(self, lang: str):
+        """(words, how often each was read, their hashes, hashes of pairs, how often each was read); a part is whole texts."""
+        ids, of = np.concatenate(self.parts), self.hashes(lang)
+        n = np.bincount(ids, minlength=len(self.words))
+        both = np.flatnonzero((ids[:-1] >= FIRST) & (ids[1:] >= FIRST))
+        pairs, times = np.unique(pair_hash(of[ids[both]], of[ids[both + 1]]), return_counts=True)
+        return list(self.words)[FIRST:], n[FIRST:], of[FIRST:], pairs, times
+
+    def suffixes(self, lang: str, frequent, last: bool):
+        """(words, rows of LONGEST places, counts, carried words): equal suffixes once, each as far as its pairs are frequent. The
+        last places wait for what follows them."""
+        ids, of = np.concatenate(self.parts), self.hashes(lang)
         self.parts = []
         texts = list(self.words)
         ready = len(ids) if last else max(0, len(ids) - LONGEST + 1)
         carried = [texts[i] for i in ids[ready:]]
+        ids = np.concatenate([ids, np.full(LONGEST, BREAK, np.int32)])
+        goes_on = (ids[:-1] >= FIRST) & (ids[1:] >= FIRST)
+        at = np.flatnonzero(goes_on)
+        goes_on[at] = frequent(pair_hash(of[ids[at]], of[ids[at + 1]]))
+        # Frequent words get small numbers, which pack well.
         n = np.bincount(ids, minlength=len(texts))
-        n[:FIRST] = 0
-        n[FIRST:] *= frequent(texts[FIRST:])
-        # Frequent words get small numbers, which pack well; rare words end a suffix as breaks do.
-        order = np.argsort(-n, kind="stable")[: np.count_nonzero(n)]
-        number = np.zeros(len(texts), np.uint64)
+        order = np.argsort(-n, kind="stable")
+        number = np.empty(len(texts), np.uint64)
         number[order] = np.arange(1, len(order) + 1, dtype=np.uint64)
-        word = np.concatenate([number[ids], np.zeros(LONGEST, np.uint64)])
-        starts = np.flatnonzero((word[:ready] > 0) & (word[1 : ready + 1] > 0))
-        high = word[starts] << np.uint64(32) | word[starts + 1]
-        third = word[starts + 2]
-        low = third << np.uint64(32) | np.where(third > 0, word[starts + 3], np.uint64(0))
+        starts = np.flatnonzero(goes_on[:ready])
+        third = goes_on[starts + 1]
+        fourth = third & goes_on[starts + 2]
+        high = number[ids[starts]] << np.uint64(32) | number[ids[starts + 1]]
+        low = (number[ids[starts + 2]] * third) << np.uint64(32) | number[ids[np.minimum(starts + 3, len(ids) - 1)]] * fourth
         by = np.lexsort((low, high))
         high, low = high[by], low[by]
         new = np.ones(len(by), bool)
@@ -104,6 +116,21 @@ class _Held:
         return [texts[i] for i in order], rows, times.astype(np.int64), carried
 
 
+def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    h = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b >> np.uint64(1))
+    return (h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - PAIR_BITS)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Bytes of one weight together."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes()
+
+
+def _unplaned(data: memoryview, n: int, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * width).reshape(width, n).T).view(kind).ravel()
+
+
 def pack(words: list[bytes], rows: np.ndarray, times: np.ndarray) -> bytes:
     """Suffixes with the words that they hold, as bytes."""
     used = np.zeros(len(words) + 1, bool)
@@ -111,8 +138,7 @@ def pack(words: list[bytes], rows: np.ndarray, times: np.ndarray) -> bytes:
     used[-1] = False
     number = np.cumsum(used) * used
     held = [words[i] for i in np.flatnonzero(used)]
-    # Columns of bytes of one weight lie together.
-    planes = np.ascontiguousarray(number[rows].T.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes()
+    planes = _planes(number[rows].T.astype("<u4").ravel())
     sizes = np.array([len(w) for w in held], "<u4").tobytes()
     return zstandard.compress(struct.pack("<II", len(rows), len(held)) + sizes + planes + times.astype("<i8").tobytes() + b"".join(held), 1)
 
@@ -122,8 +148,7 @@ def unpack(blob: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     n, k = struct.unpack_from("<II", data)
     sizes = np.frombuffer(data, "<u4", k, 8)
     at = 8 + 4 * k
-    planes = np.frombuffer(data, np.uint8, 4 * LONGEST * n, at).reshape(4, -1)
-    rows = np.ascontiguousarray(planes.T).view("<u4").reshape(LONGEST, n).T.astype(np.int32) - 1
+    rows = _unplaned(memoryview(data)[at:], LONGEST * n, "<u4").reshape(LONGEST, n).T.astype(np.int32) - 1
     at += 4 * LONGEST * n
     times = np.frombuffer(data, "<i8", n, at)
     ends = at + 8 * n + np.cumsum(sizes, dtype=np.int64)
@@ -154,7 +179,7 @@ _ROUTES = pa.schema([("shard", pa.int64()), ("part", pa.int64()), ("lang", pa.st
 
 def _read(batches, full):
     """Read texts of (text, lang) into what is held by language; yield that whenever ``full`` words are held, and last, with
-    whether more may follow. The receiver empties it."""
+    whether that was all. The receiver empties it."""
     held: dict[str, _Held] = {}
     for batch in batches:
         offsets, data = utf8(batch.column(0))
@@ -166,19 +191,67 @@ def _read(batches, full):
     yield held, True
 
 
-def _tally(batches):
-    """Rows (lang, word, n) of the words of each part of the texts; a null word has the number of all words."""
-    for held, _ in _read(batches, HELD_WORDS):
-        for lang in list(held):
-            words, n = held.pop(lang).counts()
-            yield pa.record_batch([pa.array([lang] * (len(words) + 1)), pa.array([*words, None], pa.binary()).cast(pa.string()), pa.array([*n.tolist(), int(n.sum())])], names=["lang", "word", "n"])
+_TALLIES = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("total", pa.int64()), ("words", pa.binary()), ("pairs", pa.binary())])
+
 
+def _tally(shards: int, batches):
+    """Words and hashes of pairs of each part of the texts with their counts, packed by shard; each goes to one shard.
 
-def _seen(bits: np.ndarray, lang: str, words: list[bytes]) -> np.ndarray:
-    """Whether each word may be frequent."""
-    seed = xxhash.xxh64_intdigest(lang.encode(), 42)
-    spot = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64) % np.uint64(SIEVE_BITS)
-    return (bits[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1
+    Parts end between texts, so that no pair is cut.
+    """
+    for held, _ in _read(batches, HELD_WORDS):
+        for lang in list(held):
+            words, n, of, pairs, times = held.pop(lang).counts(lang)
+            word_to, pair_to = (of % np.uint64(shards)).astype(np.int64), (pairs % np.uint64(shards)).astype(np.int64)
+            by_word, by_pair = np.argsort(word_to, kind="stable"), np.argsort(pair_to, kind="stable")
+            word_ends, pair_ends = (np.searchsorted(to[by], np.arange(shards + 1)) for to, by in ((word_to, by_word), (pair_to, by_pair)))
+            for k in np.union1d(word_to, pair_to).tolist():
+                own, two = by_word[word_ends[k] : word_ends[k + 1]], by_pair[pair_ends[k] : pair_ends[k + 1]]
+                texts = [words[i] for i in own]
+                packed = struct.pack("<I", len(own)) + _planes(n[own].astype("<i8")) + np.array([len(w) for w in texts], "<u4").tobytes() + b"".join(texts)
+                # The hashes of a part are in order: differences are small.
+                apart = struct.pack("<I", len(two)) + _planes(np.diff(pairs[two], prepend=np.uint64(0)).astype("<u8")) + _planes(times[two].astype("<i8"))
+                yield pa.record_batch([pa.array([k]), pa.array([lang]), pa.array([int(n[own].sum())]), pa.array([zstandard.compress(packed, 1)], pa.binary()), pa.array([zstandard.compress(apart, 1)], pa.binary())], schema=_TALLIES)
+
+
+_SUMS = pa.schema([("lang", pa.string()), ("word", pa.string()), ("pair", pa.int64()), ("n", pa.int64())])
+
+
+def _sum(least: int, key, table: pa.Table) -> pa.Table:
+    """The frequent words and pairs of a shard and a language, and a row with neither: the number of all its words."""
+    words: dict[bytes, int] = {}
+    pairs, times = [], []
+    for blob, other in zip(table["words"], table["pairs"]):
+        data = memoryview(zstandard.decompress(blob.as_py()))
+        (k,) = struct.unpack_from("<I", data)
+        n, sizes = _unplaned(data[4:], k, "<i8"), np.frombuffer(data, "<u4", k, 4 + 8 * k)
+        at = 4 + 12 * k
+        for size, times_ in zip(sizes.tolist(), n.tolist()):
+            word = bytes(data[at : at + size])
+            words[word] = words.get(word, 0) + times_
+            at += size
+        data = memoryview(zstandard.decompress(other.as_py()))
+        (k,) = struct.unpack_from("<I", data)
+        pairs.append(np.cumsum(_unplaned(data[4:], k, "<u8")))
+        times.append(_unplaned(data[4 + 8 * k :], k, "<i8"))
+    pairs, times = np.concatenate(pairs), np.concatenate(times)
+    by = np.argsort(pairs, kind="stable")
+    pairs, times = pairs[by], times[by]
+    first = np.flatnonzero(np.diff(pairs, prepend=np.uint64(1 << 63)))
+    total = np.add.reduceat(times, first) if len(first) else times
+    often = total >= least
+    kept = [(w, n) for w, n in words.items() if n >= least]
+    two = int(often.sum())
+    return pa.table([
+        pa.array([key[1].as_py()] * (len(kept) + two + 1), pa.string()), pa.array([*(w for w, _ in kept), *[None] * (two + 1)], pa.binary()).cast(pa.string()),
+        pa.array([*[None] * len(kept), *pairs[first][often].tolist(), None], pa.int64()), pa.array([*(n for _, n in kept), *total[often].tolist(), sum(table["total"].to_pylist())], pa.int64()),
+    ], schema=_SUMS)
+
+
+def _seen(bits: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Whether each pair may be frequent."""
+    spot = pairs & np.uint64((1 << SIEVE_BITS) - 1)
+    return (bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
 
 
 def _route(shards: int, sieve, batches):
@@ -186,7 +259,7 @@ def _route(shards: int, sieve, batches):
     bits = np.frombuffer(sieve.value, np.uint8)
     for held, last in _read(batches, HELD_WORDS):
         for lang in list(held):
-            words, rows, times, carried = held.pop(lang).suffixes(lambda words: _seen(bits, lang, words), last)  # noqa: B023
+            words, rows, times, carried = held.pop(lang).suffixes(lang, partial(_seen, bits), last)
             if not last:
                 held[lang] = _Held(carried)
             for shard, size, blob in _dealt(words, rows, times, (_hashes(words, rows, lang, 2) % np.uint64(shards)).astype(np.int64)):
@@ -263,22 +336,25 @@ def _count(least: int, key, table: pa.Table) -> pa.Table:
     return pa.table([pa.array([key[2].as_py()] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(depth, pa.int32()), pa.array(total, pa.int64())], schema=_COUNTS)
 
 
-def counts(docs: DataFrame, least: int = LEAST, shard_bytes: int = SHARD_BYTES, split_rows: int = SPLIT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """((lang, phrase, words, n) of all phrases of 1 to LONGEST words that occur ``least`` times, (lang, n) of all words).
+def counts(docs: DataFrame, least: int = LEAST, shard_rows: int = SHARD_ROWS, split_rows: int = SPLIT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """((lang, phrase, words, n) of all phrases of 1 to LONGEST words that occur ``least`` times, (lang, total) of all words).
 
     A shard with more rows than ``split_rows``, as with one very frequent pair of words, is split by all words of its
     suffixes; the parts' counts are added up afterwards.
     """
     texts = docs.select("text", F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"))
-    shards = max(1, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes))
-    words = texts.mapInArrow(_tally, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    words = materialize(words.filter(F.col("word").isNull() | (F.col("n") >= least)), "phrase-words")
-    totals, single = words.filter("word is null").select("lang", F.col("n").alias("total")), words.filter("word is not null")
-    spot = F.pmod(F.xxhash64("lang", "word"), F.lit(SIEVE_BITS))
-    held = single.select(spot.alias("spot")).groupBy(F.expr("spot div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot % 64 as int))")).alias("bits")).toArrow()
-    bits = np.zeros(SIEVE_BITS // 64, np.int64)
+    shards = max(1, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
+    tallied = texts.mapInArrow(partial(_tally, shards), "shard long, lang string, total long, words binary, pairs binary")
+    often = tallied.groupBy("shard", "lang").applyInArrow(lambda key, table: _sum(least, key, table), "lang string, word string, pair long, n long")
+    often = materialize(often, "phrase-words")
+    totals = often.filter("word is null and pair is null").groupBy("lang").agg(F.sum("n").alias("total"))
+    spot = F.pmod("pair", F.lit(1 << SIEVE_BITS))
+    pairs = often.filter("pair is not null")
+    held = pairs.select(spot.alias("spot")).groupBy(F.expr("spot div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot % 64 as int))")).alias("bits")).toArrow()
+    bits = np.zeros((1 << SIEVE_BITS) // 64, np.int64)
     bits[held["at"].to_numpy()] = held["bits"].to_numpy()
     sieve = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+    shards = max(1, -(-(pairs.agg(F.sum("n")).first()[0] or 0) // shard_rows))
     routes = "shard long, part long, lang string, size long, blob binary"
     dealt = materialize(texts.mapInArrow(partial(_route, shards, sieve), routes), "phrase-routes")
     large = dealt.groupBy("shard").agg(F.sum("size").alias("rows")).filter(F.col("rows") > split_rows)
@@ -292,10 +368,10 @@ def counts(docs: DataFrame, least: int = LEAST, shard_bytes: int = SHARD_BYTES,
         found = tally(dealt.join(large, "shard", "left_anti")).unionByName(summed)
     found = materialize(found, "phrase-counts")
     release(dealt)
-    return found.unionByName(single.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "n")), totals
+    return found.unionByName(often.filter("word is not null").select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "n")), totals
 
 
-def collocations(docs: DataFrame, least: int = LEAST, covered: int = COVERED, report: int = REPORT, shard_bytes: int = SHARD_BYTES, split_rows: int = SPLIT_ROWS) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, covered: int = COVERED, report: int = REPORT, shard_rows: int = SHARD_ROWS, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first ``report`` phrases of every language.
 
     Words and phrases of two to LONGEST words are counted within pieces of the lower-cased texts, in each
@@ -303,7 +379,7 @@ def collocations(docs: DataFrame, least: int = LEAST, covered: int = COVERED, re
     any length are read whole, in slices; other columns are ignored; no rows, or none often enough, give
     no rows. Ties in score go by count, then by phrase in byte order.
     """
-    found, totals = counts(docs, least, shard_bytes, split_rows)
+    found, totals = counts(docs, least, shard_rows, split_rows)
     candidates = found.filter("words > 1").withColumnRenamed("n", "a")
     held = F.split("phrase", " ")
     cut = candidates.select("lang", "phrase", "words", "a", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))

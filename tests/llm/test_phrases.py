@@ -89,39 +89,46 @@ def test_odd_rows_and_small_shards(mixed):
     want = plain(rows)
     assert {r[0] for r in want} >= {"en", "de", "fr", "und"}
     assert results(df) == want
-    assert results(df, shard_bytes=20_000) == want
-    assert results(df, shard_bytes=100_000, split_rows=50) == want
+    assert results(df, shard_rows=300) == want
+    assert results(df, shard_rows=2000, split_rows=50) == want
     assert results(df.filter("text = 'none'")) == []
 
 
 def test_a_text_sent_in_several_parts(mixed, monkeypatch):
-    """Suffixes reach over the places where a task sends off what it holds; rare words end them."""
+    """Suffixes reach over the places where a task sends off what it holds; rare pairs end them."""
     rows = [(t, lang or "und") for t, lang in mixed[0][:120]]
     monkeypatch.setattr(phrases, "HELD_WORDS", 50)
     monkeypatch.setattr(phrases, "SLICE", 64)
-    bits = np.full(phrases.SIEVE_BITS // 8, 255, np.uint8)
+    of = lambda lang, w: np.array([phrases.xxhash.xxh64_intdigest(w.encode(), phrases.xxhash.xxh64_intdigest(lang.encode(), 42))], np.uint64)
+    pair = lambda lang, a, b: int(phrases.pair_hash(of(lang, a), of(lang, b))[0])
+    bits = np.full((1 << phrases.SIEVE_BITS) // 8, 255, np.uint8)
     for lang in ("en", "de", "und"):
-        seed = phrases.xxhash.xxh64_intdigest(lang.encode(), 42)
-        spot = phrases.xxhash.xxh64_intdigest(b"w3", seed) % phrases.SIEVE_BITS
+        spot = pair(lang, "w1", "w0") & ((1 << phrases.SIEVE_BITS) - 1)
         bits[spot // 8] &= ~np.uint8(1 << spot % 8)
     sieve = SimpleNamespace(value=bits.tobytes())
     batch = pa.record_batch([pa.array([t for t, _ in rows]), pa.array([lang for _, lang in rows])], names=["text", "lang"])
-    found, counted = Counter(), Counter()
+    found, shards = Counter(), {}
     for out in phrases._route(3, sieve, [batch]):
         for r in out.to_pylist():
             words, places, times = phrases.unpack(r["blob"])
             for p, t in zip(places.tolist(), times.tolist()):
                 found[(r["lang"], *(words[i] for i in p if i >= 0))] += t
-    for out in phrases._tally([batch]):
-        for r in out.to_pylist():
-            counted[r["lang"], r["word"]] += r["n"]
+    for out in phrases._tally(3, [batch]):
+        shards.setdefault((out["shard"][0].as_py(), out["lang"][0].as_py()), []).append(out)
+    counted = Counter()
+    for key, parts in shards.items():
+        for r in phrases._sum(7, [pa.scalar(k) for k in key], pa.Table.from_batches(parts)).to_pylist():
+            counted[r["lang"], r["word"] if r["pair"] is None else r["pair"]] += r["n"]
     want, single = Counter(), Counter()
     for text, lang in rows:
         low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
         for piece in re.split("[.,;:!?\x0a-\x0d]", low):
             w = re.findall("[^\x20\x09]+", piece)
             single.update((lang, x) for x in [*w, *[None] * len(w)])
-            for run in " ".join(x if x != "w3" else "\n" for x in w).split("\n"):
-                w = [x.encode() for x in re.findall("[^\x20\x09]+", run)]
-                want.update((lang, *w[i : i + 4]) for i in range(len(w) - 1))
-    assert found == want and counted == single
+            single.update((lang, pair(lang, a, b)) for a, b in zip(w, w[1:]))
+            runs = [[]]
+            for x in w:
+                runs += [[]] if runs[-1][-1:] == ["w1"] and x == "w0" else []
+                runs[-1].append(x)
+            want.update((lang, *(x.encode() for x in run[i : i + 4])) for run in runs for i in range(len(run) - 1))
+    assert found == want and counted == Counter({k: n for k, n in single.items() if n >= 7 or k[1] is None})
