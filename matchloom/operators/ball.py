@@ -145,8 +145,10 @@ def track_ball(frames: DataFrame, found: DataFrame, people: DataFrame, homograph
 
 
 def source_stats(tracked: DataFrame) -> DataFrame:
-    total = F.sum("n").over(Window.partitionBy("match_id"))
-    return tracked.groupBy("match_id", "source").agg(F.count("*").alias("n")).withColumn("pct", 100 * F.col("n") / total)
+    """Frames of each source with their share, and how many candidates the match and the source rejected for speed."""
+    w = Window.partitionBy("match_id")
+    by_source = tracked.groupBy("match_id", "source").agg(F.count("*").alias("n"), F.count_if("rejected_speed").alias("n_rejected_speed"))
+    return by_source.withColumns({"pct": 100 * F.col("n") / F.sum("n").over(w), "match_rejected_speed": F.sum("n_rejected_speed").over(w)})
 
 
 def gap_summary(tracked: DataFrame, longest: int = 38) -> DataFrame:

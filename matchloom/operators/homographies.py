@@ -67,35 +67,56 @@ KEY_POINTS = np.array([
 ])
 
 
-def _image_points(m: np.ndarray) -> np.ndarray | None:
-    try:
-        p = np.linalg.inv(m) @ np.c_[KEY_POINTS * 10, np.ones(len(KEY_POINTS))].T
-    except np.linalg.LinAlgError:
-        return None
-    return p[:2] / p[2]
+_POINTS = np.c_[KEY_POINTS * 10, np.ones(len(KEY_POINTS))].T
+
+
+def _adjugates(m: np.ndarray) -> np.ndarray:
+    """Adjugates of (n, 3, 3) matrices: their inverses but for a factor, which moves no projected point."""
+    rows = m[:, [[1], [2], [0]], [1, 2, 0]] * m[:, [[2], [0], [1]], [2, 0, 1]] - m[:, [[1], [2], [0]], [2, 0, 1]] * m[:, [[2], [0], [1]], [1, 2, 0]]
+    return rows.transpose(0, 2, 1)
+
+
+def image_points(m: np.ndarray) -> np.ndarray:
+    """Image places (n, 2, points) of the key points under (n, 3, 3) matrices; NaN under singular ones."""
+    turned = _adjugates(m)
+    p = turned @ _POINTS
+    ok = np.einsum("ni,ni->n", m[:, 0], turned[:, :, 0]) != 0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(ok[:, None, None], p[:, :2] / p[:, 2:], np.nan)
+
+
+def _apart(pa: np.ndarray, pb: np.ndarray) -> float:
+    if np.isnan(pa[0, 0]) or np.isnan(pb[0, 0]):
+        return float("inf")
+    off = np.sort(np.hypot(pa[0] - pb[0], pa[1] - pb[1]))
+    return float(off[len(off) // 2 - 1] + off[len(off) // 2]) / 2
 
 
 def disagreement(a: np.ndarray, b: np.ndarray) -> float:
     """Median image distance of the key points under two matrices; infinite if one is singular."""
-    pa, pb = _image_points(a), _image_points(b)
-    return float("inf") if pa is None or pb is None else float(np.median(np.hypot(*(pa - pb))))
+    return _apart(*image_points(np.stack([a, b]).astype(float)))
 
 
 def _smooth(cfg: HomographyConfig, rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("frame_idx")
-    mats, inliers, tags = rows[H].to_numpy(float).reshape(-1, 3, 3), rows["n_inliers"].to_numpy(), rows["tag"].to_numpy()
+    mats, inliers, tags = rows[H].to_numpy(float).reshape(-1, 3, 3), rows["n_inliers"].to_numpy(float), rows["tag"].to_numpy()
+    known = ~np.isnan(mats).any(axis=(1, 2))
+    conf = np.where(np.isnan(inliers), 1.0, np.minimum(1.0, inliers / cfg.full_inliers))
+    asked = known & (conf >= cfg.jump_conf)
+    # All raw matrices are turned round at once; the state's is, when a jump is asked for.
+    points = np.full((len(rows), 2, len(KEY_POINTS)), np.nan)
+    points[asked] = image_points(mats[asked])
     now, out, jumps = None, np.full((len(rows), 9), np.nan), np.zeros(len(rows), dtype=bool)
-    for k, m in enumerate(mats):
-        if not np.isnan(m).any():
-            conf = 1.0 if pd.isna(inliers[k]) else min(1.0, inliers[k] / cfg.full_inliers)
+    slow = np.clip(cfg.base_alpha * conf, cfg.least_alpha, cfg.most_alpha)
+    fast = np.clip(np.maximum(cfg.base_alpha * conf, cfg.jump_alpha), cfg.least_alpha, cfg.most_alpha)
+    for k in range(len(mats)):
+        if known[k]:
             if now is None:
-                now = m if tags[k] == "anchor" else None
+                now = mats[k] if tags[k] == "anchor" else None
             else:
-                alpha = cfg.base_alpha * conf
-                if conf >= cfg.jump_conf and disagreement(m, now) > cfg.jump_px:
-                    alpha, jumps[k] = max(alpha, cfg.jump_alpha), True
-                alpha = min(max(alpha, cfg.least_alpha), cfg.most_alpha)
-                now = alpha * m + (1 - alpha) * now
+                jumps[k] = bool(asked[k]) and _apart(points[k], image_points(now[None])[0]) > cfg.jump_px
+                alpha = fast[k] if jumps[k] else slow[k]
+                now = alpha * mats[k] + (1 - alpha) * now
         if now is not None:
             out[k] = now.ravel()
     res = rows[["match_id", "frame_idx"]].copy()

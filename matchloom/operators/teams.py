@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import StandardScaler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.functions.geometry import distance, foot, project
+from matchloom.functions.geometry import distance, dot, foot, project
 from matchloom.operators.detections import FRAME
 
 SAMPLE, SILHOUETTE_SAMPLE, RESTARTS, SEED = 6000, 2000, 10, 42
@@ -87,20 +91,72 @@ def calibrate(sample: DataFrame) -> DataFrame:
     return sample.select("match_id", "frame_idx", "track_id", "embedding").groupBy("match_id").applyInPandas(_calibrate, schema)
 
 
+def pooled_clusters(sample: DataFrame, k: int = 2, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """Kit clusters over all rows of (.., embedding) at once, where one kit pair holds for all of them.
+
+    (rows with ``team``, clusters (team, n, centre)): distributed k-means with parallel seeding on columns scaled to
+    unit population deviation. Rows of any number; nothing but k centres reaches the driver. A null vector is left out.
+    """
+    held = sample.filter("embedding is not null").withColumn("_raw", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))))
+    scaler = StandardScaler(withMean=True, withStd=True, inputCol="_raw", outputCol="_z").fit(held)
+    scaled = scaler.transform(held)
+    fitted = KMeans(k=k, seed=seed, featuresCol="_z", predictionCol="team", initMode="k-means||", maxIter=50).fit(scaled)
+    centres = sample.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(fitted.clusterCenters())], "team int, centre array<double>")
+    rows = fitted.transform(scaled).drop("_raw", "_z")
+    return rows, rows.groupBy("team").agg(F.count("*").alias("n")).join(centres, "team")
+
+
+def squared_silhouette(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, silhouette) over all rows of (keys, team, embedding) by squared Euclidean distance.
+
+    The mean squared distance of a row to a cluster follows from the cluster's size, sum of vectors and sum of squared lengths,
+    so that no two rows meet. Of several other clusters the nearest counts; a cluster of one row scores 0, as does
+    a row that equals all; without a second cluster the silhouette is null. Rows without a vector or team are left out.
+    """
+    held = rows.filter("embedding is not null and team is not null").select(*keys, F.col("team").alias("_team"), F.transform("embedding", lambda x: x.cast("double")).alias("_x"))
+    held = held.withColumn("_length2", dot(F.col("_x"), F.col("_x")))
+    sums = held.groupBy(*keys, "_team").agg(F.count("*").alias("_n"), F.sum("_length2").alias("_sum2"), Summarizer.sum(array_to_vector("_x")).alias("_total"))
+    clusters = sums.groupBy(*keys).agg(F.collect_list(F.struct(F.col("_team").alias("team"), F.col("_n").alias("n"), F.col("_sum2").alias("sum2"), vector_to_array("_total").alias("total"))).alias("_clusters"))
+
+    def mean(c):
+        """Mean squared distance to a cluster; to one's own, the row itself left out."""
+        own = F.when(c.team == F.col("_team"), 1).otherwise(0)
+        return F.struct((own == 1).alias("own"), c.n.alias("n"), ((c.sum2 + c.n * F.col("_length2") - 2 * dot(F.col("_x"), c.total)) / F.nullif(c.n - own, F.lit(0))).alias("d"))
+
+    near = held.join(clusters, keys).select(*keys, F.transform("_clusters", mean).alias("_means"))
+    mine = F.get(F.filter("_means", lambda c: c.own), F.lit(0))
+    other = F.array_min(F.transform(F.filter("_means", lambda c: ~c.own), lambda c: c.d))
+    scored = near.select(*keys, F.greatest(mine.d, F.lit(0.0)).alias("_a"), F.greatest(other, F.lit(0.0)).alias("_b"), mine.n.alias("_n"), other.isNotNull().alias("_two"))
+    s = F.when(F.col("_two"), F.when((F.col("_n") > 1) & (F.greatest("_a", "_b") > 0), (F.col("_b") - F.col("_a")) / F.greatest("_a", "_b")).otherwise(0.0))
+    return scored.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(s).alias("silhouette"))
+
+
+def kit_rules(clusters: DataFrame) -> DataFrame:
+    """(match_id, first, second, w, b) of two clusters: a vector x belongs to the first unless w.x > b.
+
+    Which of two centres is nearer after scaling is a linear question, so mean, scale and both centres fold into one
+    weight vector a match.
+    """
+    side = F.row_number().over(Window.partitionBy("match_id").orderBy("team"))
+    pair = clusters.withColumn("_side", side).groupBy("match_id").agg(*(F.max(F.when(F.col("_side") == i + 1, F.struct("team", "centre", "mean", "scale"))).alias(x) for i, x in enumerate("pq")))
+    delta = F.zip_with("q.centre", "p.centre", lambda q, p: q - p)
+    w = F.zip_with(delta, "p.scale", lambda d, s: d / s)
+    b = (dot(F.col("q.centre"), F.col("q.centre")) - dot(F.col("p.centre"), F.col("p.centre"))) / 2 + dot(F.col("w"), F.col("p.mean"))
+    return pair.filter("q is not null").withColumn("w", w).select("match_id", F.col("p.team").alias("first"), F.col("q.team").alias("second"), "w", b.alias("b"))
+
+
 def classify(rows: DataFrame, clusters: DataFrame, roles: DataFrame, every: int = 8) -> DataFrame:
-    """Nearest cluster of the player rows of every ``every``-th frame."""
+    """Nearest of the match's two clusters for the player rows of every ``every``-th frame; the first on a tie."""
     used = rows.filter(F.col("frame_idx") % every == 0).join(roles.filter("role = 'player'").select("match_id", "track_id"), ["match_id", "track_id"], "left_semi")
-    each = used.join(clusters.select("match_id", F.col("team").alias("c"), "centre", "mean", "scale"), "match_id")
-    z = F.zip_with(F.zip_with("embedding", "mean", lambda x, m: x.cast("double") - m), "scale", lambda x, s: x / s)
-    off = F.aggregate(F.zip_with(z, "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    return each.withColumn("_off", off).groupBy(*FRAME, "track_id").agg(F.min_by("c", F.struct("_off", "c")).alias("team"))
+    off = dot(F.transform("embedding", lambda x: x.cast("double")), F.col("w"))
+    return used.join(kit_rules(clusters), "match_id").select(*FRAME, "track_id", F.when(off > F.col("b"), F.col("second")).otherwise(F.col("first")).alias("team"))
 
 
 def lock_teams(classified: DataFrame, weak: float = 0.7) -> DataFrame:
-    """Team of each track by votes, the one seen first on a tie, with the share and a weak flag."""
+    """Team of each track by votes, the one seen first on a tie, with the share, a weak flag and how many tracks the team has."""
     votes = classified.groupBy("match_id", "track_id", "team").agg(F.count("*").alias("votes"), F.min("frame_idx").alias("seen"))
     out = votes.groupBy("match_id", "track_id").agg(F.min_by("team", F.struct(-F.col("votes"), F.col("seen"))).alias("team"), F.max("votes").alias("top"), F.sum("votes").alias("total"))
-    return out.select("match_id", "track_id", "team", (F.col("top") / F.col("total")).alias("majority_frac"), (F.col("top") / F.col("total") < weak).alias("is_weak"))
+    return out.select("match_id", "track_id", "team", (F.col("top") / F.col("total")).alias("majority_frac"), (F.col("top") / F.col("total") < weak).alias("is_weak"), F.count("*").over(Window.partitionBy("match_id", "team")).alias("team_players"))
 
 
 def sampled_positions(tracks: DataFrame, homography: DataFrame, every: int = 10) -> DataFrame:

@@ -84,9 +84,10 @@ def _(t):
     return tracked(t)
 
 
-@register("b06_source_stats", "ball_px", "SELECT match_id, source, count(*) AS n, 100.0 * count(*) / sum(count(*)) OVER (PARTITION BY match_id) AS pct FROM ball_px GROUP BY match_id, source", "pct")
+@register("b06_source_stats", "ev detections tracks track_role homography", TRACKED + """, n AS (SELECT match_id, source, count(*) AS n, count(*) FILTER (rejected_speed) AS n_rejected_speed FROM placed GROUP BY ALL)
+  --- SELECT match_id, source, n, n_rejected_speed, 100.0 * n / sum(n) OVER w AS pct, (sum(n_rejected_speed) OVER w)::BIGINT AS match_rejected_speed FROM n WINDOW w AS (PARTITION BY match_id)""", "pct")
 def _(t):
-    return ball.source_stats(t.ball_px)
+    return ball.source_stats(tracked(t))
 
 
 @register("b07_gap_summary", "ball_px", """, m AS (SELECT *, source <> 'detected' AS miss, coalesce(lag(source <> 'detected') OVER (PARTITION BY match_id ORDER BY frame_idx), false) AS prev FROM ball_px),

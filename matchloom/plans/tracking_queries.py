@@ -221,9 +221,9 @@ def vectors(t):
 
 
 @register("a01_calibration_sample", "track_vectors track_role", """, used AS (SELECT v.* FROM track_vectors v JOIN track_role r ON r.match_id = v.match_id AND r.track_id = v.track_id AND r.role = 'player' WHERE frame_idx % 15 = 0 AND vec_id IS NOT NULL)
-  --- SELECT match_id, frame_idx, track_id FROM used QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY md5('42:' || match_id || ':' || frame_idx || ':' || track_id), frame_idx, track_id) <= 400""")
+  --- SELECT match_id, frame_idx, track_id FROM used QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY md5('42:' || match_id || ':' || frame_idx || ':' || track_id), frame_idx, track_id) <= 6000""")
 def _(t):
-    return teams.calibration_sample(t.track_vectors, t.track_role, most=400).select(*FRAME, "track_id")
+    return teams.calibration_sample(t.track_vectors, t.track_role).select(*FRAME, "track_id")
 
 
 @register("a02_standardise", "ball_frame", """, z AS (SELECT match_id, frame_idx, (ball_pitch_x - avg(ball_pitch_x) OVER w) / CASE WHEN stddev_pop(ball_pitch_x) OVER w > 0 THEN stddev_pop(ball_pitch_x) OVER w ELSE 1 END AS x, (ball_pitch_y - avg(ball_pitch_y) OVER w) / CASE WHEN stddev_pop(ball_pitch_y) OVER w > 0 THEN stddev_pop(ball_pitch_y) OVER w ELSE 1 END AS y
@@ -253,6 +253,43 @@ def _(t):
     return teams.classify(vectors(t), clusters(t), t.track_role)
 
 
+@register("a03_pooled_clusters")
+def _(t):
+    """One pair of kits over all matches: the sample of each, clustered together."""
+    sample = teams.calibration_sample(t.track_vectors, t.track_role).join(t.file("embeddings").select("vec_id", "embedding"), "vec_id")
+    rows, found = teams.pooled_clusters(io.materialize(sample.select(*FRAME, "track_id", "embedding"), "kit-sample"))
+    return rows.groupBy("match_id", "team").agg(F.count("*").alias("n_here")).join(found.select("team", "n"), "team").select("match_id", "team", "n_here", "n")
+
+
+#: Moments of each team's vectors by place; the teams are given, so that SQL has the same labels.
+@register("a04_squared_silhouette", "track_vectors track_team", """, v AS (SELECT vec_id, embedding::DOUBLE[] AS x, list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) AS len2 FROM embeddings),
+u AS (SELECT match_id, team, vec_id, count(*) AS k FROM track_vectors JOIN track_team USING (match_id, track_id) WHERE vec_id IS NOT NULL GROUP BY ALL),
+p AS (SELECT match_id, team, i, sum(k * x[i]) AS s FROM (SELECT u.*, x, unnest(range(1, len(x) + 1)) AS i FROM u JOIN v USING (vec_id)) q GROUP BY ALL),
+c AS (SELECT match_id, team, list(s ORDER BY i) AS total FROM p GROUP BY ALL),
+m AS (SELECT u.match_id, u.team, sum(k) AS n, sum(k * len2) AS sum2 FROM u JOIN v USING (vec_id) GROUP BY ALL),
+d AS (SELECT u.match_id, u.team, u.vec_id, u.k, m.team AS other, m.n, (m.sum2 + m.n * v.len2 - 2 * list_dot_product(v.x, c.total)) / nullif(m.n - (m.team = u.team)::INT, 0) AS dist FROM u JOIN v USING (vec_id) JOIN m ON m.match_id = u.match_id JOIN c ON c.match_id = m.match_id AND c.team = m.team),
+s AS (SELECT match_id, team, vec_id, k, greatest(max(dist) FILTER (other = team), 0) AS a, greatest(min(dist) FILTER (other <> team), 0) AS b, max(n) FILTER (other = team) AS own FROM d GROUP BY ALL)
+  --- SELECT match_id, sum(k)::BIGINT AS n, sum(k * CASE WHEN own > 1 AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END) / sum(k) AS silhouette FROM s GROUP BY match_id""", "silhouette")
+def _(t):
+    return teams.squared_silhouette(vectors(t).join(t.track_team, ["match_id", "track_id"]).select("match_id", "team", "embedding"), ["match_id"])
+
+
+#: Clusters that SQL can make too: the centres are two of the vectors, the scales go from 1 to 3.
+@register("a05_classify_given_kits", "track_vectors track_role", """, e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), n AS (SELECT count(*) AS n FROM embeddings),
+kit AS (SELECT DISTINCT t.match_id, (t.match_id * 31 + 5) % n.n AS p, (t.match_id * 31 + 12) % n.n AS q FROM track_vectors t, n),
+used AS (SELECT t.match_id, t.frame_idx, t.track_id, e.x, p.x AS p, q.x AS q FROM track_vectors t JOIN track_role r ON r.match_id = t.match_id AND r.track_id = t.track_id AND r.role = 'player' JOIN e USING (vec_id) JOIN kit ON kit.match_id = t.match_id JOIN e p ON p.vec_id = kit.p JOIN e q ON q.vec_id = kit.q WHERE t.frame_idx % 8 = 0),
+off AS (SELECT match_id, frame_idx, track_id, list_sum(list_transform(range(1, len(x) + 1), lambda i: power((x[i] - 0.01 * i) / (1 + i % 3) - p[i], 2))) AS a, list_sum(list_transform(range(1, len(x) + 1), lambda i: power((x[i] - 0.01 * i) / (1 + i % 3) - q[i], 2))) AS b FROM used)
+  --- SELECT match_id, frame_idx, track_id, CASE WHEN b < a THEN 1 ELSE 0 END AS team FROM off""")
+def _(t):
+    e = t.file("embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("centre"))
+    n = t.vectors
+    at = F.inline(F.array(*(F.struct(F.lit(k).alias("team"), ((F.col("match_id") * 31 + shift) % F.col("n")).alias("vec_id")) for k, shift in enumerate((5, 12)))))
+    kits = t.ev.select("match_id").distinct().crossJoin(F.broadcast(n)).select("match_id", at).join(e, "vec_id")
+    place = F.sequence(F.lit(1), F.size("centre"))
+    kits = kits.withColumns({"mean": F.transform(place, lambda i: i * F.lit(0.01)), "scale": F.transform(place, lambda i: (1 + i % 3).cast("double"))})
+    return teams.classify(vectors(t), kits, t.track_role)
+
+
 VOTES = """, c AS (SELECT match_id, frame_idx, track_id, CASE WHEN (frame_idx + track_id) % 3 = 0 THEN 1 - team ELSE team END AS team FROM tracks JOIN track_team USING (match_id, track_id) WHERE frame_idx % 8 = 0 AND track_id NOT IN (11, 22)),
 v AS (SELECT match_id, track_id, team, count(*) AS votes, min(frame_idx) AS seen FROM c GROUP BY ALL),
 locked AS (SELECT match_id, track_id, first(team ORDER BY votes DESC, seen) AS team, max(votes) / sum(votes) AS majority_frac FROM v GROUP BY ALL)"""
@@ -263,7 +300,7 @@ def votes(t):
     return seen.select(*FRAME, "track_id", F.expr("case when (frame_idx + track_id) % 3 = 0 then 1 - team else team end").alias("team"))
 
 
-@register("a06_lock_teams", "tracks track_team", VOTES + " --- SELECT match_id, track_id, team, majority_frac, majority_frac < 0.7 AS is_weak FROM locked", "majority_frac")
+@register("a06_lock_teams", "tracks track_team", VOTES + " --- SELECT match_id, track_id, team, majority_frac, majority_frac < 0.7 AS is_weak, count(*) OVER (PARTITION BY match_id, team) AS team_players FROM locked", "majority_frac")
 def _(t):
     return teams.lock_teams(votes(t))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from matchloom.functions import geometry as g
 from matchloom.operators import detections, homographies, tracklets
 from matchloom.plans.registry import iou_sql, profile, profile_doubles, profile_sql, project_sql, register
-from matchloom.sources import io
+from matchloom.sources import io, schemas
 
 FRAME, BOX = detections.FRAME, detections.BOX
 BALL_FRAME = "SELECT match_id, frame_idx, ball_source, ball_pitch_x, ball_pitch_y, carrier_track_id, carrier_team, possession_team FROM ball_frame"
@@ -17,7 +18,7 @@ BALL_FRAME = "SELECT match_id, frame_idx, ball_source, ball_pitch_x, ball_pitch_
 
 @register("s01_read_table", sql="SELECT event_id, user_id, event_type, value FROM events", doubles="value")
 def _(t):
-    return io.read(t.spark, f"{t.sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value")
+    return schemas.conform(io.read(t.spark, f"{t.sf_dir}/events.parquet", schemas.EVENTS), schemas.EVENTS)
 
 
 @register("s02_write_and_read", "ball_frame", BALL_FRAME, "ball_pitch_x ball_pitch_y")
@@ -25,6 +26,27 @@ def _(t):
     return io.materialize(t.ball_frame, "ball-frames")
 
 
+def match_tables(t, buckets: int = 8):
+    """Player and ball frames in buckets by match and frame, so that a long match spreads over all of them, each sorted."""
+    base = f"{io.shared_folder(t.spark)}/matchloom/frames-{uuid.uuid4().hex}"
+    both = [("players", schemas.conform(t.player_frame, schemas.PLAYER_FRAMES)), ("balls", schemas.conform(t.ball_frame, schemas.BALL_FRAMES))]
+    return [io.write_bucketed(df, f"matchloom_{name}_{uuid.uuid4().hex}", f"{base}-{name}", FRAME, buckets, FRAME) for name, df in both]
+
+
+@register("s02_join_bucketed", "player_frame ball_frame", "SELECT p.match_id, p.frame_idx, count(p.pitch_x) AS n_known, count(*) FILTER (p.is_carrier) AS n_carriers, any_value(b.ball_source) AS ball_source, any_value(b.possession_team) AS possession_team FROM player_frame p JOIN ball_frame b USING (match_id, frame_idx) GROUP BY p.match_id, p.frame_idx")
+def _(t):
+    players, balls = match_tables(t)
+    joined = players.join(balls.select(*FRAME, "ball_source", "possession_team").hint("merge"), FRAME)
+    return joined.groupBy(*FRAME).agg(F.count("pitch_x").alias("n_known"), F.count_if("is_carrier").alias("n_carriers"), F.first("ball_source").alias("ball_source"), F.first("possession_team").alias("possession_team"))
+
+
+@register("s02_write_partitioned", "player_frame", "SELECT match_id, track_id, count(*) AS n, count(pitch_x) AS n_known, min(frame_idx) AS first_frame FROM player_frame GROUP BY ALL")
+def _(t):
+    path = f"{io.shared_folder(t.spark)}/matchloom/by-match-{uuid.uuid4().hex}"
+    io.write(schemas.conform(t.player_frame, schemas.PLAYER_FRAMES).repartition("match_id").sortWithinPartitions(*FRAME), path, partition_by=["match_id"])
+    return io.read(t.spark, path, schemas.PLAYER_FRAMES).groupBy("match_id", "track_id").agg(F.count("*").alias("n"), F.count("pitch_x").alias("n_known"), F.min("frame_idx").alias("first_frame"))
+
+
 @register("s03_load_or_build", "ball_frame", BALL_FRAME, "ball_pitch_x ball_pitch_y")
 def _(t):
     path = f"{io.shared_folder(t.spark)}/matchloom/stage-{zlib.crc32(t.sf_dir.encode())}"
@@ -37,9 +59,9 @@ def _(t):
     return tracklets.unnest(tracklets.renest(t.tracks, t.ev.select(*FRAME))).select(*FRAME, "track_id", "conf", "class")
 
 
-@register("s05_renest_frames", "tracks", "SELECT match_id, frame_idx, count(track_id) AS n_tracks, min(track_id) AS first_track, max(track_id) AS last_track FROM ev LEFT JOIN (SELECT * FROM tracks WHERE frame_idx % 7 <> 3) x USING (match_id, frame_idx) GROUP BY ALL")
+@register("s05_renest_frames", "tracks", "SELECT match_id, frame_idx, count(track_id) AS n_tracks, min(track_id) AS first_track, max(track_id) AS last_track FROM ev LEFT JOIN tracks USING (match_id, frame_idx) GROUP BY ALL")
 def _(t):
-    nested = tracklets.renest(t.tracks.filter("frame_idx % 7 <> 3"), t.ev.select(*FRAME))
+    nested = tracklets.renest(t.tracks, t.ev.select(*FRAME))
     return nested.select(*FRAME, F.size("tracks").cast("long").alias("n_tracks"), F.get("tracks", F.lit(0))["track_id"].alias("first_track"), F.get("tracks", F.size("tracks") - 1)["track_id"].alias("last_track"))
 
 
@@ -164,12 +186,12 @@ def _(t):
 
 
 @register("d06_detection_summary", "detections", BEST + """, per AS (SELECT e.match_id, e.frame_idx, count(b.conf) AS ball, count(b.conf) FILTER (b.low_confidence) AS low, any_value(c.gk) AS gk, any_value(c.ref) AS ref, any_value(c.pl) AS pl
-  FROM ev e LEFT JOIN best b USING (match_id, frame_idx) LEFT JOIN (SELECT match_id, frame_idx, count(*) FILTER (class = 'goalkeeper') AS gk, count(*) FILTER (class = 'referee') AS ref, count(*) FILTER (class = 'player') AS pl FROM detections WHERE conf >= 0.9 GROUP BY ALL) c USING (match_id, frame_idx) GROUP BY e.match_id, e.frame_idx)
+  FROM ev e LEFT JOIN best b USING (match_id, frame_idx) LEFT JOIN (SELECT match_id, frame_idx, count(*) FILTER (class = 'goalkeeper') AS gk, count(*) FILTER (class = 'referee') AS ref, count(*) FILTER (class = 'player') AS pl FROM detections GROUP BY ALL) c USING (match_id, frame_idx) GROUP BY e.match_id, e.frame_idx)
   --- SELECT match_id, count(*) AS n_frames, count(*) FILTER (ball > 0) AS n_ball, count(*) FILTER (low > 0) AS n_low_conf, count(*) FILTER (ball = 0) AS n_missing, 100.0 * count(*) FILTER (ball > 0) / count(*) AS ball_pct,
   avg(coalesce(gk, 0)) AS goalkeeper_avg, min(coalesce(gk, 0)) AS goalkeeper_min, max(coalesce(gk, 0)) AS goalkeeper_max, avg(coalesce(ref, 0)) AS referee_avg, min(coalesce(ref, 0)) AS referee_min, max(coalesce(ref, 0)) AS referee_max,
   avg(coalesce(pl, 0)) AS player_avg, min(coalesce(pl, 0)) AS player_min, max(coalesce(pl, 0)) AS player_max FROM per GROUP BY match_id""", "ball_pct goalkeeper_avg referee_avg player_avg")
 def _(t):
-    others = t.detections.filter("class <> 'ball' and conf >= 0.9")
+    others = t.detections.filter("class <> 'ball'")
     return detections.summary(detections.fuse(detections.best_ball(t.detections, detections.DetectionConfig(low_conf=0.5)), others), t.ev)
 
 

@@ -49,7 +49,7 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
           CASE WHEN track_id = 23 THEN 'referee' WHEN track_id IN (11, 22) AND (frame_idx + track_id) % 9 <> 0 THEN 'goalkeeper' WHEN (frame_idx * track_id) % 97 = 1 THEN 'referee' ELSE 'player' END AS class
         FROM (SELECT match_id, frame_idx, track_id, CAST((track_id * 83 + frame_idx * (1 + track_id % 3) * 2 + match_id * 29) % 1900 AS DOUBLE) AS fx,
           CAST(200 + (track_id * 59 + frame_idx * (1 + track_id % 2) + match_id * 17) % 800 AS DOUBLE) AS fy
-        FROM (SELECT match_id, frame_idx, {explode(1, 24)} AS track_id FROM ev) t WHERE track_id < 24 OR frame_idx < 120) u""",
+        FROM (SELECT match_id, frame_idx, {explode(1, 24)} AS track_id FROM ev) t WHERE (track_id < 24 OR frame_idx < 120) AND (frame_idx + match_id) % 89 <> 5) u""",
     ),
     "detections": (
         ("ev", "tracks"),

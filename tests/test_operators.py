@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import geometry
 from matchloom.operators import assignment, ball, carrier, detections, frames, homographies, intervals, passes, pressing, teams, tracklets
-from matchloom.sources import io
+from matchloom.sources import io, schemas
 
 BALL = "match_id long, frame_idx long, ball_source string, ball_pitch_x double, ball_pitch_y double, carrier_track_id long, carrier_team long, possession_team long"
 CFG = passes.PassConfig(max_gap_frames=8)
@@ -370,3 +370,64 @@ def test_nearest_equals_search(spark):
         got = {(r.k, r.f): r.v for r in intervals.nearest(a, k, ["k"], "f", ["v"], reach).collect()}
         want = {(i, f): min(((abs(g - f), g) for j, g in known if j == i and abs(g - f) <= reach), default=None) for i, f in asked}
         assert got == {x: None if w is None else 1000 * x[0] + w[1] for x, w in want.items()}
+
+
+def test_bucketed_and_partitioned_tables(spark, sf, tmp_path):
+    """Tables in buckets of frames join and group without an exchange; a partitioned one reads one match's folder alone."""
+    from matchloom.plans import QUERIES, registry, vision_queries
+
+    t = registry.Tables(spark, sf)
+    players, balls = vision_queries.match_tables(t)
+    out = players.join(balls.select("match_id", "frame_idx", "ball_source").hint("merge"), ["match_id", "frame_idx"]).groupBy("match_id", "frame_idx").count()
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    path = str(tmp_path / "players")
+    io.write(t.player_frame, path, partition_by=["match_id"])
+    one = io.read(spark, path, schemas.PLAYER_FRAMES).filter("match_id = 1")
+    assert "PartitionFilters: [isnotnull(match_id" in one._jdf.queryExecution().executedPlan().toString() and len(one.inputFiles()) >= 1
+    assert {r.match_id for r in one.select("match_id").distinct().collect()} == {1} and one.count() == t.player_frame.filter("match_id = 1").count()
+    assert QUERIES["s02_join_bucketed"](spark, sf).count() == t.player_frame.select("match_id", "frame_idx").distinct().count()
+    with pytest.raises(TypeError, match="frame_idx: missing"):
+        schemas.conform(spark.range(1), "id long, frame_idx long")
+    with pytest.raises(TypeError, match="id: bigint, not int"):
+        schemas.conform(spark.range(1), "id int")
+
+
+def test_pooled_clusters_equal_the_helper_on_one_match(spark):
+    rng = np.random.default_rng(2)
+    x = np.r_[rng.normal(0, 0.4, (90, 6)), rng.normal(2, 0.4, (50, 6))] * [1, 5, 1, 1, 20, 1]
+    df = spark.createDataFrame([(1, i, 1, v.tolist()) for i, v in enumerate(x)], "match_id long, frame_idx long, track_id long, embedding array<double>")
+    label, _ = teams.two_means((x - x.mean(axis=0)) / x.std(axis=0))
+    rows, found = teams.pooled_clusters(df)
+    got = np.array([r.team for r in rows.orderBy("frame_idx").collect()])
+    assert (got == label).all() or (got == 1 - label).all()
+    assert sorted(r.n for r in found.collect()) == [50, 90]
+
+
+def test_squared_silhouette_equals_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    x, label = rng.normal(0, 1, (40, 4)), np.r_[rng.integers(0, 3, 39), 9]
+    rows = [(1, int(k), v.tolist()) for k, v in zip(label, x)] + [(2, 0, [1.0, 2.0])] * 3 + [(3, 0, [1.0]), (3, 1, [1.0]), (3, 0, [1.0]), (3, None, [5.0]), (3, 1, None)]
+    out = {r.m: r for r in teams.squared_silhouette(spark.createDataFrame(rows, "m long, team long, embedding array<double>"), ["m"]).collect()}
+    d = ((x[:, None] - x) ** 2).sum(axis=2)
+    score = []
+    for i, k in enumerate(label):
+        own = (label == k).sum()
+        a = d[i, label == k].sum() / max(own - 1, 1)
+        b = min(d[i, label == j].mean() for j in set(label.tolist()) - {int(k)})
+        score.append((b - a) / max(a, b) if own > 1 else 0)
+    assert out[1].silhouette == pytest.approx(np.mean(score)) and out[1].n == 40
+    assert out[2].silhouette is None and (out[3].silhouette, out[3].n) == (0.0, 3)
+
+
+def test_many_inverses_equal_single_ones():
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(50, 3, 3))
+    m[7] = 0
+    got = homographies.image_points(m)
+    pitch = np.c_[homographies.KEY_POINTS * 10, np.ones(len(homographies.KEY_POINTS))].T
+    for k in range(50):
+        if k == 7:
+            assert np.isnan(got[k]).all()
+        else:
+            p = np.linalg.inv(m[k]) @ pitch
+            assert got[k] == pytest.approx(p[:2] / p[2], rel=1e-6)
