@@ -15,7 +15,6 @@ from matchloom.llm.common import WORD, materialize
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
 GOOD, POOR = 2.0, 0.5
-RANGE_ROWS = 4096
 SEED = "mix-1"
 
 
@@ -63,8 +62,8 @@ def targets(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
 def mix(docs: DataFrame, labels: DataFrame | None = None, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, row: str | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, copies for every row of ``docs``.
 
-    size: number of words (null texts: 0); copies: how often the mix holds the document; taken: the
-    words of these copies. A null source is a source of its own; a null doc_id is drawn by its text;
+    size: number of words (null texts: 0, texts of any length are counted whole); copies: how often the mix holds the
+    document, ``max_epochs`` at most; taken: the words of these copies. A null source is a source of its own; a null doc_id is drawn by its text;
     ``row`` names a further column to keep; equal keys go by doc_id and size, and rows equal in all these are alike. Sources without
     words get nothing. Extra columns are ignored; no rows give no rows.
     """
@@ -77,25 +76,28 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, weights=WEIGHTS, max_e
         sized = sized.withColumn("weight", F.lit(1.0))
     else:
         sized = sized.join(quality_weights(labels), "doc_id", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-    sized = materialize(sized.select(*carried, "doc_id", "source", "size", (-F.log(draw) / F.col("weight")).alias("key")), "mix-sizes")
-    by_source = materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "mix-sums")
+    sized = materialize(sized.select(*carried, "doc_id", "source", "size", (-F.log(draw) / F.col("weight")).alias("key"), F.monotonically_increasing_id().alias("nth")), "mix-sizes")
+    by_source = materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sums")
     plan = targets(source_weights(by_source, weights), max_epochs)
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
-    plan = plan.withColumn("left", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("ranges", F.ceil(F.col("n") / RANGE_ROWS))
-    plan = materialize(plan.select("source", "source_size", "target", "epochs", "left", "ranges"), "mix-plan")
-    # A source is cut into ranges of its keys, so that a large one is sorted by many tasks; only
-    # the sums of the ranges meet.
+    plan = plan.withColumn("left", F.col("target") - F.col("epochs") * F.col("source_size"))
+    plan = materialize(plan.select("source", "source_size", "target", "epochs", "left"), "mix-plan")
+    # Spark's own ranges of source, key and row cut a source into parts of like size, whatever the weights and however often a
+    # key repeats; only the sums of the parts meet.
+    order = [F.col("source").asc_nulls_last(), "key", "doc_id", "size", "nth"]
+    parts = materialize(sized.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "mix-ranges")
     same = lambda a, b: a.alias("a").join(b.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "inner")
-    ranged = same(sized, plan).select("a.*", "source_size", "target", "epochs", "left", F.floor((1 - F.exp(-F.col("key"))) * F.col("ranges")).alias("range"))
-    sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
+    ranged = same(parts, plan).select("a.*", "source_size", "target", "epochs", "left")
+    sums = parts.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     ahead = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("source", "range", F.coalesce(F.sum("range_size").over(ahead), F.lit(0)).alias("ahead"))
-    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", "nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = ranged.withColumn("run", F.sum("size").over(within)).alias("a")
     run = run.join(sums.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.range") == F.col("b.range")))
     # Nearest whole document: it is drawn if its middle lies within the words left.
     drawn = (F.col("ahead") + F.col("run") - F.col("size") / 2 <= F.col("left")).cast("long")
-    return run.select(*carried, "doc_id", "a.source", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + drawn)).alias("taken"), (F.col("epochs") + drawn).alias("copies"))
+    copies = F.least(F.col("epochs") + drawn, F.lit(max_epochs).cast("long"))
+    return run.select(*carried, "doc_id", "a.source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 
 
 ORACLE = f"""
@@ -111,4 +113,4 @@ t AS (SELECT source, source_size, least(cap, w * coalesce((SELECT level FROM l),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
 run AS (SELECT d.*, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS left_words, sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS run
   FROM sized d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
-SELECT doc_id, source, size, source_size, target, (size * (epochs + (run - size / 2 <= left_words)::INT))::BIGINT AS taken, epochs + (run - size / 2 <= left_words)::BIGINT AS copies FROM run"""
+SELECT doc_id, source, size, source_size, target, (size * least(epochs + (run - size / 2 <= left_words)::INT, {MAX_EPOCHS}))::BIGINT AS taken, least(epochs + (run - size / 2 <= left_words)::BIGINT, {MAX_EPOCHS}) AS copies FROM run"""
