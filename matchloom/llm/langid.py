@@ -20,6 +20,8 @@ BITS = 16
 LONGEST = 3
 #: The bound of the training sample: rows of each language.
 SAMPLE_PER_LANG = 600
+#: The bound of a model: 2^BITS weights of 4 bytes each language, 64 MB in all; more languages are an error.
+MAX_LANGS = 256
 EPOCHS = 4
 SCALE = 40.0
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.05
@@ -141,17 +143,20 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG):
     """Fit on ``per_lang`` rows at most of every language, drawn by a hash of doc_id and text among the rows
     with a language, a text and crc32(doc_id) mod 5 other than 0. The model has 2^BITS weights a language.
 
-    Where a language has many more rows, a threshold on the hash lets about twice ``per_lang`` through,
-    so that no task sees more of them than that. Equal rows count once.
+    Where a language has many more different rows, a threshold on the hash lets about twice ``per_lang`` through,
+    so that no task sees more of them than that. Equal rows count once. More than MAX_LANGS languages are an error.
     """
     rows = docs.filter("lang is not null and text is not null and crc32(cast(doc_id as string)) % 5 <> 0")
     # Negative hashes to positive ones: the order is that of an unsigned number.
     place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)
-    drawn = materialize(rows.select("lang", place.alias("order")), "language-rows")
-    counted = drawn.groupBy("lang").agg(F.count("*").alias("n"))
+    # Equal rows are one draw, here too: else a text repeated often would set a threshold that leaves its language nothing.
+    drawn = materialize(rows.select("lang", place.alias("order")).distinct(), "language-rows")
+    counted = materialize(drawn.groupBy("lang").agg(F.count("*").alias("n")), "language-counts")
+    if counted.count() > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     share = F.least(F.lit(1.0), F.lit(2.0 * per_lang) / F.col("n")) * float(1 << 63)
     first = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
-    low = drawn.join(counted, "lang").filter(F.col("order") <= share).select("lang", "order").distinct()
+    low = drawn.join(counted, "lang").filter(F.col("order") <= share).select("lang", "order")
     # Written first: its true size then tells Spark to broadcast it, and no text is shuffled.
     drawn = materialize(low.withColumn("place", first).filter(F.col("place") <= per_lang).select("lang", "order"), "language-sample")
     sample = rows.select("lang", "text", place.alias("order")).join(drawn, ["lang", "order"]).groupBy("lang", "order").agg(F.first("text").alias("text"))
@@ -170,8 +175,9 @@ def _predict_rows(model, batches):
 
 def identify(docs: DataFrame, model=None) -> DataFrame:
     """All columns of ``docs``, lang_pred and score, for every row; columns of ``docs`` with these two
-    names are replaced. Null texts and texts without a letter are ``und`` with score 0, as is all
-    if no row can be learnt from. Prediction sees the text alone."""
+    names are replaced. Null and empty texts and texts without a letter are ``und`` with score 0, as is all
+    if no row can be learnt from. Prediction sees the text alone, so equal texts have equal results, and texts of any
+    length are read whole; no rows give no rows."""
     model = train(docs) if model is None else model
     docs = docs.drop("lang_pred", "score")
     sent = docs.sparkSession.sparkContext.broadcast(model)
