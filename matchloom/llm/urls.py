@@ -7,7 +7,7 @@ reaches the limit by itself, soft terms only together.
 
 from __future__ import annotations
 
-from functools import lru_cache, partial
+from functools import partial
 
 import ahocorasick
 import pyarrow as pa
@@ -30,29 +30,40 @@ VOCABULARY = (
 )
 
 
-@lru_cache(maxsize=4)
-def _automaton(terms: tuple[tuple[str, int], ...]):
-    found = ahocorasick.Automaton()
-    for term, weight in terms:
-        found.add_word(term, (term, weight))
-    found.make_automaton()
-    return found
+class Terms:
+    """A vocabulary {term: weight} and its automaton, which a worker makes once, when it first needs it."""
+
+    def __init__(self, weights: dict[str, int]):
+        self.weights, self._found = dict(sorted(weights.items())), None
+
+    def __getstate__(self):
+        return {"weights": self.weights, "_found": None}
+
+    @property
+    def automaton(self):
+        if self._found is None:
+            self._found = ahocorasick.Automaton()
+            for term, weight in self.weights.items():
+                self._found.add_word(term, (term, weight))
+            self._found.make_automaton()
+        return self._found
 
 
 def _edge(text: str, at: int) -> bool:
     return not (0 <= at < len(text) and text[at].isascii() and text[at].isalnum())
 
 
-def weigh(url: str, terms: tuple[tuple[str, int], ...]) -> tuple[int, int]:
+def weigh(url: str, automaton) -> tuple[int, int]:
     """Summed weight and number of the distinct terms of a lower-case URL, by whole words."""
-    hits = {t: w for end, (t, w) in _automaton(terms).iter(url) if _edge(url, end + 1) and _edge(url, end - len(t))}
+    hits = {t: w for end, (t, w) in automaton.iter(url) if _edge(url, end + 1) and _edge(url, end - len(t))}
     return sum(hits.values()), len(hits)
 
 
-def _weights(terms, batches):
+def _weights(sent, batches):
+    terms = sent.value
     for batch in batches:
-        lower = batch.column(1).to_pylist()
-        found = [weigh(u.translate(_LOWER), terms) if u else (0, 0) for u in lower]
+        urls = batch.column(1).to_pylist()
+        found = [weigh(u.translate(_LOWER), terms.automaton) if u and terms.weights else (0, 0) for u in urls]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([w for w, _ in found], pa.int32()), pa.array([n for _, n in found], pa.int32())], names=[*batch.schema.names, "term_weight", "n_terms"])
 
 
@@ -62,10 +73,14 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 MAX_TERMS = 1_000_000
 
 
+def _lower(column):
+    return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def read_vocabulary(terms: DataFrame) -> dict[str, int]:
-    """The vocabulary of a table (term, weight): lower-case terms, the largest weight of each. It is held by every
+    """The vocabulary of a table (term, weight): terms with A-Z lower-cased, as URLs are, the largest weight of each. It is held by every
     worker, so more than MAX_TERMS terms are an error; null or empty terms and null weights are left out."""
-    rows = terms.filter("term <> '' and weight is not null").groupBy(F.lower("term").alias("term")).agg(F.max("weight").cast("int").alias("weight")).limit(MAX_TERMS + 1).collect()
+    rows = terms.filter("term <> '' and weight is not null").groupBy(_lower("term").alias("term")).agg(F.max("weight").cast("int").alias("weight")).limit(MAX_TERMS + 1).collect()
     if len(rows) > MAX_TERMS:
         raise ValueError(f"more than {MAX_TERMS} terms")
     return {r.term: r.weight for r in rows}
@@ -83,11 +98,10 @@ def judge(pages: DataFrame, rules=RULES, vocabulary=None, limit: int = LIMIT) ->
     """
     if isinstance(vocabulary, DataFrame):
         vocabulary = read_vocabulary(vocabulary)
-    terms = tuple(sorted((VOCABULARY if vocabulary is None else vocabulary).items()))
+    sent = pages.sparkSession.sparkContext.broadcast(Terms(VOCABULARY if vocabulary is None else vocabulary))
     rest = F.when(F.instr("url", "://") > 0, F.expr("substr(url, instr(url, '://') + 3)")).otherwise("")
-    lower = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    host = lower(F.regexp_extract(rest, r"^[^/?#]*", 0))
-    parts = pages.select("page_id", "url").mapInArrow(partial(_weights, terms), "page_id long, url string, term_weight int, n_terms int")
+    host = _lower(F.regexp_extract(rest, r"^[^/?#]*", 0))
+    parts = pages.select("page_id", "url").mapInArrow(partial(_weights, sent), "page_id long, url string, term_weight int, n_terms int")
     parts = parts.withColumn("host", host).withColumn("path", F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1))
     chosen = F.lit(None).cast("struct<rule:string,verdict:string>")
     for verdict, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
