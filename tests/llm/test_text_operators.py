@@ -235,21 +235,73 @@ def test_line_simhash(spark):
     for i, t in enumerate(texts):
         hs = [xxhash.xxh64_intdigest(w.encode(), 42) for w in t.split(" ") if len(w.encode()) >= lines.LONG_WORD]
         assert (rows[i].fp & (2**64 - 1) if i in rows else None) == (sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) if hs else None)
-    assert all(len(r["keys"]) == lines.BANDS[0] for r in rows.values())
+    assert all(len(set(r["keys"])) == lines.BANDS[0] for r in lines.char_fingerprints(df).collect())
+
+
+def grouped(spark, texts, **options):
+    """Group of each different normalised line, as found among all of them."""
+    rows = spark.createDataFrame([(i, len(t), t, i) for i, t in enumerate(texts)], "line long, chars int, normal string, h1 long").withColumn("h2", F.col("h1"))
+    found = lines.similar_lines(rows, rows.selectExpr("h1", "h2", "line as id", "1L as n", "chars"), lines.DISTANCE, lines.SIMILARITY, **options)
+    of = {r.node: r.component for r in found.collect()}
+    return {t: of.get(i, -1 - i) for i, t in enumerate(texts)}
 
 
 def test_fuzzy_lines_recall_over_all_pairs(spark, sf):
-    """Registered settings against edit similarity over all pairs of lines of the table."""
+    """Registered settings on all lines of the table against edit similarity over all pairs; the exact setting finds all."""
     texts = documents(spark, sf).select(F.explode(F.split("text", "\n")).alias("line")).select(lines.normalise(F.col("line")).alias("t"))
     texts = texts.filter(F.length("t") >= lines.MIN_CHARS).distinct().select(F.xxhash64("t").alias("id"), "t", F.length("t").alias("n"))
     df = spark.createDataFrame(texts.collect(), texts.schema).repartition(8).cache()
     pairs = df.alias("a").join(df.alias("b"), F.expr("a.n <= b.n and a.id <> b.id and b.n - a.n <= floor(0.2D * b.n) and levenshtein(a.t, b.t, cast(floor(0.2D * b.n) as int)) >= 0"))
     want = {tuple(sorted(r)) for r in pairs.selectExpr("a.t as x", "b.t as y").collect()}
-    ids = {t: i for i, t in enumerate(sorted({x for p in want for x in p}))}
-    rows = spark.createDataFrame([(i, len(t), t, i) for t, i in ids.items()], "line long, chars int, normal string, h1 long").withColumn("h2", F.col("h1"))
-    group = {r.node: r.component for r in lines.similar_lines(rows, rows.selectExpr("h1", "h2", "line as id", "1L as n"), lines.DISTANCE, lines.SIMILARITY).collect()}
-    found = sum(group.get(ids[x], -1) == group.get(ids[y], -2) for x, y in want)
-    assert len(want) > 30 and found >= 0.95 * len(want)
+    every = sorted(r.t for r in df.collect())
+    of = grouped(spark, every)
+    found = sum(of[x] == of[y] for x, y in want)
+    assert len(every) > 1000 and len(want) > 30 and found >= 0.95 * len(want)
+    # Nothing else is linked: groups are those of the true pairs.
+    parent = {t: t for t in every}
+
+    def top(t):
+        while parent[t] != t:
+            t = parent[t]
+        return t
+
+    for x, y in want:
+        parent[top(x)] = top(y)
+    assert all(len({top(t) for t in own}) == 1 for own in ([t for t in every if of[t] == g] for g in {of[x] for p in want for x in p}))
+    few = sorted({x for p in want for x in p})[:120] + every[:150]
+    of = grouped(spark, sorted(set(few)), exact=True)
+    assert all(of[x] == of[y] for x, y in want if x in of and y in of)
+
+
+@pytest.mark.parametrize("step", [2, 3, 4, 6])
+def test_fuzzy_lines_with_scattered_typos(spark, step):
+    """Lines of 25 words with one letter changed in every second to sixth word."""
+    rng = random.Random(step)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9)))
+    pairs = []
+    for _ in range(100):
+        words = [word() for _ in range(25)]
+        typos = [w[:k] + ("q" if w[k] != "q" else "x") + w[k + 1 :] if i % step == 0 else w for i, w in enumerate(words) for k in [rng.randrange(len(w))]]
+        pairs.append((" ".join(words), " ".join(typos)))
+    texts = [t for p in pairs for t in p]
+    of = grouped(spark, texts)
+    assert sum(of[a] == of[b] for a, b in pairs) >= 90
+    assert all(of[a] != of[c] for (a, _), (c, _) in zip(pairs, pairs[1:]))
+    if step == 2:
+        of = grouped(spark, texts[:60], exact=True)
+        assert all(of[a] == of[b] for a, b in pairs[:30])
+
+
+def test_fuzzy_lines_of_a_hot_key(spark):
+    """Many lines with a long common part: only those that are alike are linked, however many share a key."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    common = " ".join(word() for _ in range(12))
+    owns = [" ".join(word() for _ in range(8)) for _ in range(150)]
+    texts = [f"{common} {own}" for own in owns] + [f"{common} {own[:-1]}_" for own in owns]
+    of = grouped(spark, texts)
+    assert sum(of[a] == of[b] for a, b in zip(texts[:150], texts[150:])) >= 140
+    assert len({of[t] for t in texts[:150]}) == 150
 
 
 def test_fuzzy_lines_keep_one_of_equal_rows(spark):
