@@ -3,7 +3,7 @@
 Vectors of a shard are inserted in batches into layered neighbour graphs; many queries walk a graph
 side by side. Every vector queries every shard: a task holds two shards, whose vectors query the other's
 graph, so that a pair counts for both if either search finds it. The beam is doubled until an audit
-against brute force passes; if none passes, all is brute force. A vector with more links than FULL in a
+against brute force passes, for vectors of each length by itself; if none passes, or the audit finds no links, all is brute force. A vector with more links than FULL in a
 shard is compared with all of the shard. Every reported pair is checked in double precision.
 """
 
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import connected_components, materialize, roots
+from matchloom.llm.common import connected_components, materialize, release, roots
 
 THRESHOLD = 0.95
 NEIGHBOURS = 16
@@ -25,8 +25,8 @@ BEAMS = (32, 64, 128, 256, 512, 1024)
 TARGET_RECALL = 0.99
 #: At least so many shards; more where one would hold more than SHARD_ROWS vectors or SHARD_BYTES.
 SHARDS, SHARD_ROWS, SHARD_BYTES = 8, 50_000, 128 << 20
-#: Vectors asked in the audit, and how many of them must have links for it to tell anything.
-AUDIT_QUERIES, AUDIT_LINKED = 2000, 20
+#: Vectors asked in the audit, round by round, until so many of them have links.
+AUDIT_QUERIES, AUDIT_LINKED = (2000, 8000, 32_000), 20
 #: Links in one shard from which a vector's own are counted by brute force.
 FULL = 256
 STEP = 4
@@ -189,8 +189,9 @@ class Graph:
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    """Unit vectors in double precision."""
+    """Unit vectors in double precision; scaled by the largest component first, so that no square over- or underflows."""
     flat = np.asarray(column.combine_chunks().flatten(), dtype=np.float64).reshape(len(column), -1)
+    flat = flat / np.abs(flat).max(axis=1, keepdims=True)
     return flat / np.linalg.norm(flat, axis=1, keepdims=True)
 
 
@@ -342,22 +343,44 @@ def _audit(threshold: float, graphs: pa.Table, queries: pa.Table) -> pa.Table:
             if (found < exact).any():
                 found = links(*graph.within(q.astype(np.float32), threshold - SLACK, beam))
             rows += [(beam, *x) for x in zip(qrep, qh1, found, exact) if x[3]]
-    return pa.table([pa.array([int(r[i]) for r in rows], pa.int64()) for i in range(5)], names=["beam", "rep", "h1", "found", "exact"])
+    d = pa.array([graphs["d"][0].as_py()] * len(rows) if rows else [], pa.int32())
+    return pa.table([d, *(pa.array([int(r[i]) for r in rows], pa.int64()) for i in range(5))], names=["d", "beam", "rep", "h1", "found", "exact"])
 
 
 def passing(recall, target: float) -> int:
     """The smallest beam whose recall of (beam, pooled, mean, n) reaches the target both over all links and
-    as the mean of the queries that have links; 0 (brute force) if there is none. The largest beam where
-    too few queries have links for a verdict."""
-    enough = [r for r in recall if r["n"] >= AUDIT_LINKED]
-    good = {r["beam"] for r in enough if r["pooled"] >= target and r["mean"] >= target}
-    return (min(good) if good else 0) if enough else BEAMS[-1]
+    as the mean of the queries that have links; 0 (brute force) if there is none, or too few queries have links
+    for a verdict."""
+    good = {r["beam"] for r in recall if r["n"] >= AUDIT_LINKED and r["pooled"] >= target and r["mean"] >= target}
+    return min(good, default=0)
+
+
+def audited_beams(graphs: DataFrame, reps: DataFrame, sizes: DataFrame, threshold: float, target: float) -> dict[int, int]:
+    """The beam for vectors of each length. A round that finds too few vectors with links asks more of them; where the
+    last one does too, or all have been asked, no beam has a verdict and all is brute force."""
+    todo, beams = {r["d"]: r["count"] for r in sizes.select("d", "count").collect()}, {}
+    everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    for most in AUDIT_QUERIES:
+        if not todo:
+            break
+        # Those whose hash is low enough: about as many as asked for, without an order over all.
+        drawn = F.shiftrightunsigned(F.xxhash64("h1", "rep"), 1) <= F.least(F.lit(1.0), most / F.col("count")) * float(1 << 63)
+        sample = reps.filter(F.col("d").isin([*todo])).filter(drawn).withColumn("shard", everywhere).select("d", "shard", "rep", "h1", "v")
+        audit = graphs.groupBy("d", "shard").cogroup(sample.groupBy("d", "shard")).applyInArrow(lambda g, q: _audit(threshold, g, q), "d int, beam long, rep long, h1 long, found long, exact long")
+        audit = audit.groupBy("d", "beam", "rep", "h1").agg(F.sum("found").alias("found"), F.sum("exact").alias("exact"))
+        recall = audit.groupBy("d", "beam").agg((F.sum("found") / F.sum("exact")).alias("pooled"), F.avg(F.col("found") / F.col("exact")).alias("mean"), F.count("*").alias("n")).collect()
+        for d in list(todo):
+            own = [r for r in recall if r["d"] == d]
+            if todo[d] <= most or max((r["n"] for r in own), default=0) >= AUDIT_LINKED:
+                beams[d] = passing(own, target)
+                del todo[d]
+    return beams | dict.fromkeys(todo, 0)
 
 
 def usable(vector) -> F.Column:
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    length = F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    return F.coalesce(F.when(bad, False).otherwise(length > 0), F.lit(False))
+    largest = F.array_max(F.transform(vector, lambda x: F.abs(x)))
+    return F.coalesce(F.when(bad, False).otherwise(largest > 0), F.lit(False))
 
 
 def near_embeddings(rows: DataFrame, threshold: float = THRESHOLD, shards: int = SHARDS, shard_rows: int = SHARD_ROWS, target: float = TARGET_RECALL) -> DataFrame:
@@ -365,8 +388,8 @@ def near_embeddings(rows: DataFrame, threshold: float = THRESHOLD, shards: int =
 
     Equal vectors are indexed once with their number. A vector that is null or zero, has null or
     non-finite components, or has a null vec_id links with nothing. Vectors of different length are
-    never compared. A repeated vec_id belongs to the groups of all its vectors. Extra columns are
-    ignored; an empty table gives an empty result.
+    never compared. A repeated vec_id belongs to the groups of all its vectors. Lengths of any scale count, from the least
+    double to the greatest. Extra columns are ignored; an empty table gives an empty result.
     """
     rows = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     rows = rows.withColumn("ok", usable(F.col("v")) & F.col("vec_id").isNotNull()).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")})
@@ -374,17 +397,14 @@ def near_embeddings(rows: DataFrame, threshold: float = THRESHOLD, shards: int =
     reps = materialize(reps.withColumn("d", F.size("v")), "hnsw-vectors")
     # Shards of vectors of one length, each bounded in rows and bytes; h2 deals the vectors out.
     most = F.greatest(F.lit(1), F.least(F.lit(shard_rows), F.floor(SHARD_BYTES / (8 * F.col("d") + 8 * NEIGHBOURS))))
-    sizes = reps.groupBy("d").count().withColumn("parts", F.greatest(F.lit(shards), F.ceil(F.col("count") / most))).select("d", "parts")
+    sizes = reps.groupBy("d").count().withColumn("parts", F.greatest(F.lit(shards), F.ceil(F.col("count") / most))).select("d", "parts", "count")
     reps = reps.join(sizes, "d").withColumn("shard", F.pmod("h2", F.col("parts")))
     graphs = materialize(reps.select("d", "parts", "shard", "rep", "h1", "m", "v").groupBy("d", "shard").applyInArrow(lambda t: _build(t), "d int, parts long, shard long, graph binary"), "hnsw-graphs")
+    beams = audited_beams(graphs, reps, sizes, threshold, target)
     everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    sample = reps.orderBy(F.xxhash64("h1", "rep")).limit(AUDIT_QUERIES).withColumn("shard", everywhere).select("d", "shard", "rep", "h1", "v")
-    audit = graphs.groupBy("d", "shard").cogroup(sample.groupBy("d", "shard")).applyInArrow(lambda g, q: _audit(threshold, g, q), "beam long, rep long, h1 long, found long, exact long")
-    audit = audit.groupBy("beam", "rep", "h1").agg(F.sum("found").alias("found"), F.sum("exact").alias("exact"))
-    recall = audit.groupBy("beam").agg((F.sum("found") / F.sum("exact")).alias("pooled"), F.avg(F.col("found") / F.col("exact")).alias("mean"), F.count("*").alias("n"))
-    beam = passing(recall.collect(), target)
     cells = graphs.withColumn("other", everywhere).select("d", F.least("shard", "other").alias("low"), F.greatest("shard", "other").alias("high"), "graph")
-    found = materialize(cells.groupBy("d", "low", "high").applyInArrow(lambda t: _links(threshold, beam, t), _LINKS), "hnsw-links")
+    found = materialize(cells.groupBy("d", "low", "high").applyInArrow(lambda t: _links(threshold, beams[t["d"][0].as_py()], t), _LINKS), "hnsw-links")
+    release(graphs)
     # A repeated vec_id ties the vectors that it stands for.
     named = rows.filter("ok").select("vec_id", "h1", "h2").join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).select("vec_id", "rep").distinct()
     again = named.groupBy("vec_id").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).filter("b < last").select("vec_id", "b")
