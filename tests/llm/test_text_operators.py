@@ -106,6 +106,30 @@ def test_suffix_arrays(spark, shard_bytes):
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == plain_repeats(texts, 40)
 
 
+def test_text_longer_than_a_part(spark):
+    """A text of over CHUNK bytes is read in parts that overlap; repeats over their edges are found."""
+    rng = np.random.default_rng(3)
+    raw = rng.integers(97, 123, suffixes.CHUNK + 700_000).astype(np.uint8)
+    edge, tail = suffixes.CHUNK, len(raw)
+    raw[1000:2200] = raw[edge - 600 : edge + 600]
+    raw[5000:5450] = raw[tail - 450 : tail]
+    # One byte too short, and different bytes on both sides.
+    raw[300_000:300_399] = raw[200_000:200_399]
+    raw[[199_999, 200_399]], raw[[299_999, 300_399]] = 97, 98
+    other = rng.integers(97, 123, 3000).astype(np.uint8)
+    other[100:900] = raw[edge - 400 : edge + 400]
+    texts = {1: raw.tobytes().decode(), 2: other.tobytes().decode()}
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()}
+    gone = {1: [(1000, 2200), (5000, 5450), (edge - 600, edge + 600), (tail - 450, tail)], 2: [(100, 900)]}
+    for d, spans in gone.items():
+        kept, at = [], 0
+        for a, b in spans:
+            kept.append(texts[d][at:a])
+            at = b
+        kept.append(texts[d][at:])
+        assert got[d] == (sum(b - a for a, b in spans), len(spans), hashlib.sha256("".join(kept).encode()).hexdigest())
+
+
 def test_suffix_order():
     rng = np.random.default_rng(0)
     data = rng.integers(0, 2, 3000, dtype=np.uint8)
@@ -484,7 +508,8 @@ def test_embedding_audit(monkeypatch):
     recall = lambda *rows: [{"beam": b, "pooled": p, "mean": m, "n": n} for b, p, m, n in rows]
     assert hnsw.passing(recall((64, 1.0, 0.9, 99), (128, 0.9, 1.0, 99)), 0.99) == 0
     assert hnsw.passing(recall((64, 1.0, 1.0, 99), (128, 1.0, 1.0, 99)), 0.99) == 64
-    assert hnsw.passing(recall((64, 1.0, 1.0, 3)), 0.99) == hnsw.passing([], 0.99) == hnsw.BEAMS[-1]
+    # No beam without a verdict.
+    assert hnsw.passing(recall((64, 1.0, 1.0, 3)), 0.99) == hnsw.passing([], 0.99) == 0
 
 
 @pytest.mark.parametrize("beam, full", [(64, 256), (64, 3), (0, 256)])
@@ -525,6 +550,25 @@ def test_embeddings_with_few_links_and_repeated_ids(spark):
     assert sum(r.n_links for r in got) == 2 * 40 + 2 + 2 + 2 * 2
 
 
+def test_embedding_beams_by_length_and_scale(spark, monkeypatch):
+    """Each length has its own audit; rounds go on until it finds links; vectors of any scale are compared."""
+    rng = np.random.default_rng(12)
+    many, few = rng.normal(size=(300, 8)), rng.normal(size=(300, 4))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.r_[many, many + 0.001])] + [(1000 + i, v.tolist()) for i, v in enumerate(few)]
+    rows += [(3000, [1e-170, 2e-170]), (3001, [1e170, 2e170]), (3002, [5e-324, 1e-323]), (3003, [0.0, -0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    seen = []
+    real = hnsw.audited_beams
+    monkeypatch.setattr(hnsw, "audited_beams", lambda *a: seen.append(real(*a)) or seen[-1])
+    monkeypatch.setattr(hnsw, "AUDIT_QUERIES", (10, 200))
+    got = {r.vec_id: r for r in hnsw.near_embeddings(df, shards=2).collect()}
+    assert seen[0][8] > 0 and seen[0][2] == 0
+    assert all(got[i].component_id == got[i + 300].component_id and got[i].n_links >= 1 for i in range(300))
+    unit = few / np.linalg.norm(few, axis=1, keepdims=True)
+    assert [got[1000 + i].n_links for i in range(300)] == ((unit @ unit.T >= 0.95).sum(axis=1) - 1).tolist()
+    assert [got[i].n_links for i in (3000, 3001, 3002, 3003)] == [2, 2, 2, 0]
+
+
 # 8: languages
 
 
