@@ -431,3 +431,23 @@ def test_many_inverses_equal_single_ones():
         else:
             p = np.linalg.inv(m[k]) @ pitch
             assert got[k] == pytest.approx(p[:2] / p[2], rel=1e-6)
+
+
+def test_composed_run(spark, sf, tmp_path):
+    """From raw tracks to passes: every stage's output fits the next one, and totals agree along the way."""
+    from matchloom.plans import match_run, registry
+
+    t = registry.Tables(spark, sf)
+    out = match_run.run(t, least=60, folder=str(tmp_path / "run"))
+    n = {k: df.count() for k, df in out.items()}
+    assert all(n[k] > 0 for k in ("tracks", "roles", "teams", "player_frames", "ball_frames", "carrier"))
+    assert n["player_frames"] == n["tracks"] and n["ball_frames"] == n["ball"] == t.ev.count()
+    # One row a track and frame, one role a track, teams of players and keepers only.
+    assert out["tracks"].groupBy("match_id", "frame_idx", "track_id").count().filter("count > 1").isEmpty()
+    assert out["roles"].groupBy("match_id", "track_id").count().filter("count > 1").isEmpty()
+    assert out["teams"].join(out["roles"].filter("role = 'referee'"), ["match_id", "track_id"]).isEmpty()
+    ids = {(r.match_id, r.track_id) for r in out["tracks"].select("match_id", "track_id").distinct().collect()}
+    assert {(r.match_id, r.track_id) for r in out["carrier"].filter("track_id is not null").select("match_id", "track_id").distinct().collect()} <= ids
+    assert all((r.match_id, r.passer_id) in ids and (r.match_id, r.receiver_id) in ids and r.passer_id != r.receiver_id for r in out["passes"].collect())
+    one = io.read(spark, str(tmp_path / "run" / "player_frames"), out["player_frames"].schema).filter("match_id = 0")
+    assert "PartitionFilters: [isnotnull(match_id" in one._jdf.queryExecution().executedPlan().toString()
