@@ -4,8 +4,8 @@ Every window of ``length`` bytes has one anchor, the smallest hash of its short
 equal windows have equal anchors wherever they stand. Runs of windows with one anchor form segments.
 Segments whose anchor occurs again meet in shards of bounded size. There a suffix array is refined by
 the method of Larsson and Sadakane, Kasai's common prefixes show the windows that occur again, and an
-anchor with too many segments for one shard is spread over several, whose windows are merged by
-binary search. Texts never meet as a whole; equal segments travel once, with their number.
+anchor with too many segments for one shard is spread over several, whose different windows are merged by
+binary search among their 128-bit hashes. Texts never meet as a whole; equal segments travel once, with their number.
 """
 
 from __future__ import annotations
