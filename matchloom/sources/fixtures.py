@@ -83,10 +83,11 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "track_vectors": (("tracks", "vectors"), "SELECT match_id, frame_idx, track_id, CASE WHEN (frame_idx + track_id) % 19 <> 0 THEN (track_id * 7 + match_id * 31 + frame_idx % 3) % (SELECT max(n) FROM vectors) END AS vec_id FROM tracks"),
     "ball_px": (
         ("ev", "tracks"),
-        """SELECT e.match_id, e.frame_idx, CASE WHEN lost THEN NULL ELSE (t.x1 + t.x2) / 2 + (e.frame_idx % 9) * 5 - 20 END AS x_px, CASE WHEN lost THEN NULL ELSE t.y2 - 8 + (e.frame_idx % 4) * 4 END AS y_px,
+        """SELECT match_id, frame_idx, CASE WHEN lost THEN NULL ELSE at_x END AS x_px, CASE WHEN lost THEN NULL ELSE at_y END AS y_px,
           CASE WHEN lost THEN 'lost' WHEN event_type = 'signup' AND value > 40 THEN 'smoothed' ELSE 'detected' END AS source, CASE WHEN lost OR event_type = 'signup' AND value > 40 THEN NULL ELSE CAST((user_id * 7) % 100 AS DOUBLE) / 100 END AS conf
-        FROM (SELECT *, event_type = 'error' AND value > 60 AS lost, 1 + ((frame_idx {div} (9 + match_id % 7)) * 6 + match_id * 3) % 22 AS near FROM ev) e
-        JOIN tracks t ON t.match_id = e.match_id AND t.frame_idx = e.frame_idx AND t.track_id = e.near""",
+        FROM (SELECT e.match_id, e.frame_idx, e.user_id, e.event_type, e.value, e.gone OR t.track_id IS NULL AS lost, (t.x1 + t.x2) / 2 + (e.frame_idx % 9) * 5 - 20 AS at_x, t.y2 - 8 + (e.frame_idx % 4) * 4 AS at_y
+          FROM (SELECT *, event_type = 'error' AND value > 60 AS gone, 1 + ((frame_idx {div} (9 + match_id % 7)) * 6 + match_id * 3) % 22 AS near FROM ev) e
+          LEFT JOIN tracks t ON t.match_id = e.match_id AND t.frame_idx = e.frame_idx AND t.track_id = e.near) b""",
     ),
 }
 
