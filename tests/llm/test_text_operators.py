@@ -704,4 +704,4 @@ def test_mixing_caps_copies_and_cuts_repeated_keys(spark):
 
 
 def test_every_operator_is_registered():
-    assert [int(n.split("_")[0][2:]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(n.split("_")[0][2:]) for n in queries.QUERIES] == list(range(1, 14))
