@@ -399,7 +399,9 @@ def near_embeddings(rows: DataFrame, threshold: float = THRESHOLD, shards: int =
     most = F.greatest(F.lit(1), F.least(F.lit(shard_rows), F.floor(SHARD_BYTES / (8 * F.col("d") + 8 * NEIGHBOURS))))
     sizes = reps.groupBy("d").count().withColumn("parts", F.greatest(F.lit(shards), F.ceil(F.col("count") / most))).select("d", "parts", "count")
     reps = reps.join(sizes, "d").withColumn("shard", F.pmod("h2", F.col("parts")))
-    graphs = materialize(reps.select("d", "parts", "shard", "rep", "h1", "m", "v").groupBy("d", "shard").applyInArrow(lambda t: _build(t), "d int, parts long, shard long, graph binary"), "hnsw-graphs")
+    # Small shards too are built side by side: partitions asked for by number aren't put together again.
+    many = 4 * int(sizes.agg(F.sum("parts")).first()[0] or 1)
+    graphs = materialize(reps.select("d", "parts", "shard", "rep", "h1", "m", "v").repartition(many, "d", "shard").groupBy("d", "shard").applyInArrow(lambda t: _build(t), "d int, parts long, shard long, graph binary"), "hnsw-graphs")
     beams = audited_beams(graphs, reps, sizes, threshold, target)
     everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     cells = graphs.withColumn("other", everywhere).select("d", F.least("shard", "other").alias("low"), F.greatest("shard", "other").alias("high"), "graph")
