@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: dict[str, str] = {}
 
+#: Spark's setting to delete a query's shuffle files once it has run.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def _path(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -68,10 +71,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: this cuts the lineage, so that a
-    lost executor costs one stage at most, and lets several readers share one computation."""
+    lost executor costs one stage at most, and lets several readers share one computation. The shuffle files of
+    the write are deleted with its end, rather than when the driver next collects garbage."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/matchloom/{label}-{uuid.uuid4().hex}"
-    write(df, path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        write(df, path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
