@@ -42,6 +42,12 @@ def test_runs(spark, sf, name):
     assert plans.QUERIES[name](spark, sf).columns
 
 
+def test_suppression_across_classes_over_all_frames(spark, sf):
+    """Every frame of ``events`` has rows, those too that ``tracks`` leaves out as holes."""
+    got = plans.QUERIES["d03_suppress_across_classes"](spark, sf).select("match_id", "frame_idx").distinct().count()
+    assert got == spark.read.parquet(f"{sf}/events.parquet").selectExpr("event_id div 500", "event_id % 500").distinct().count()
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
