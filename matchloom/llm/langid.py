@@ -28,6 +28,8 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.05
 #: Calibrated probability under which the pipeline rejects a document.
 MIN_SCORE = 0.4
 UNDETERMINED = "und"
+#: Bytes of rows predicted at once; their n-grams take some 150 times as much memory.
+BATCH = 1 << 19
 
 
 @lru_cache(maxsize=1)
@@ -167,7 +169,7 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG):
 
 
 def _predict_rows(model, batches):
-    for batch in small_batches(batches, 2 << 20):
+    for batch in small_batches(batches, BATCH):
         offsets, data = utf8(batch.column(batch.schema.get_field_index("text")))
         lang, score = predict(model.value, [str(data[a:b], "utf-8") for a, b in zip(offsets[:-1], offsets[1:])])
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])

@@ -7,10 +7,13 @@ import os
 import random
 import re
 import time
+import tracemalloc
+import types
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -594,6 +597,19 @@ def test_languages_with_a_text_repeated_often(spark):
         langid.train(many)
 
 
+def test_language_memory():
+    """Texts are predicted in batches that leave room for an executor's other work."""
+    texts = pa.array(["the people of the town went to the market to buy bread " * 40] * 2000)
+    model = (["en", "de"], np.zeros((1 << langid.BITS, 2)), np.zeros(2), 1.0)
+    batch = pa.record_batch([texts], names=["text"])
+    langid._letters()
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in langid._predict_rows(types.SimpleNamespace(value=model), [batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 2000 and peak < 120 << 20
+
+
 def test_language_model_equals_a_plain_one():
     """Follow-the-regularised-leader, coordinate by coordinate in dictionaries, then a search for the temperature."""
     rng = random.Random(2)
