@@ -331,6 +331,22 @@ def test_fuzzy_lines_of_a_hot_key(spark):
     assert len({of[t] for t in texts[:150]}) == 150
 
 
+def test_fuzzy_lines_of_hot_keys_lose_no_pair(spark, monkeypatch):
+    """Keys that many lines share give the links that comparing all pairs of every key gives."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(4, 9)))
+    common, texts = " ".join(word() for _ in range(4)), []
+    for _ in range(250):
+        words = [word() for _ in range(12)]
+        texts += [f"{common} {' '.join(words)}", f"{common} {' '.join(w[:2] + '0' + w[3:] for w in words)}"]
+    monkeypatch.setattr(lines, "HOT_KEY", 1 << 30)
+    want = grouped(spark, texts)
+    monkeypatch.setattr(lines, "HOT_KEY", 3)
+    monkeypatch.setattr(lines, "SQUARE", 16, raising=False)
+    got = grouped(spark, texts)
+    assert got == want and len({g for g in want.values()}) < 400
+
+
 def test_fuzzy_lines_keep_one_of_equal_rows(spark):
     line, other = "a line that three rows without an id have", "one more line of the same three documents"
     rows = [(None, f"{line}\n{other}")] * 3 + [(7, line), (8, "x\n" + other.replace("more", "mere")), (9, "y"), (9, "y")]
