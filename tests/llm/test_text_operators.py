@@ -109,6 +109,22 @@ def test_suffix_arrays(spark, shard_bytes):
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == plain_repeats(texts, 40)
 
 
+def test_suffix_arrays_of_one_passage_in_many_texts(spark, monkeypatch):
+    """Segments of one anchor with different neighbours bring a few rows each to the shards, not one a window."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choices("abcdefghi ", k=n))
+    passage, seen = word(70), {}
+    texts = [word(rng.randrange(60, 90)) + passage + word(rng.randrange(60, 90)) for _ in range(150)] + [passage, passage[:39], passage[3:45]]
+    keep = suffixes.materialize
+    monkeypatch.setattr(suffixes, "materialize", lambda df, label: seen.setdefault(label, keep(df, label)) if label == "repeat-local" else keep(df, label))
+    got = suffixes.remove_repeats(table(spark, list(enumerate(texts))), length=40, gram=8, shard_bytes=5_000).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == plain_repeats(texts, 40)
+    assert seen["repeat-local"].count() < 4 * len(texts)
+    # What the texts of a core hold is too much for a shard, too.
+    got = suffixes.remove_repeats(table(spark, list(enumerate(texts))), length=40, gram=8, shard_bytes=200).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == plain_repeats(texts, 40)
+
+
 def test_text_longer_than_a_part(spark):
     """A text of over CHUNK bytes is read in parts that overlap; repeats over their edges are found."""
     rng = np.random.default_rng(3)
