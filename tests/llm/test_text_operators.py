@@ -221,6 +221,22 @@ def test_personal_data_in_time_with_the_hits(spark):
 # 4: fuzzy lines
 
 
+def test_fuzzy_lines_in_turns(spark, monkeypatch):
+    """Lines and pairs that are too many for one exchange take turns, with the same result."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(4, 9)))
+    plain = [[word() for _ in range(14)] for _ in range(30)]
+    typo = lambda line: " ".join(w[:1] + "z" + w[2:] if k == at else w for at in [rng.randrange(14)] for k, w in enumerate(line))
+    docs = table(spark, [(i, "\n".join(typo(plain[(i + 7 * k) % 30]) for k in range(3))) for i in range(45)])
+    whole = sorted(lines.dedup_lines(docs).collect())
+    keep, seen = lines.materialize, []
+    monkeypatch.setattr(lines, "materialize", lambda df, label: (seen.append(label), keep(df, label))[1])
+    monkeypatch.setattr(lines, "AT_ONCE", 50)
+    assert sorted(lines.dedup_lines(docs).collect()) == whole
+    assert sum(r.n_removed for r in whole) == 105
+    assert seen.count("line-marks") > 1 and seen.count("line-near") > 1
+
+
 def test_fuzzy_lines(spark, odd, empty):
     fox = "the quick brown fox jumps over the lazy dog near the old river bank in the morning sun"
     rows = [(1, f"{fox}\nshort\n"), (2, f"Intro line of its own, quite different\n{fox.upper()}!"), (3, fox.replace("dog", "dogs")), (4, None), (5, ""), (None, "another line that nobody else has"), (6, "short")]
