@@ -402,6 +402,14 @@ def test_sketches_agree(spark):
     assert got == {lines.HASHES, sum((x ^ y) & 255 == 0 for x, y in zip(*rows))}
 
 
+def test_sketches_are_read_twice_at_most(spark):
+    """Pairs of a hot key are many: a join reads its rows again for each mention of a column."""
+    words = ", ".join(f"w{i}: bigint" for i in range(lines.HASHES // 8))
+    df = spark.createDataFrame([], f"a struct<{words}>, b struct<{words}>").select(lines._agreeing("a", "b").alias("n"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert all(1 <= len(re.findall(rf"\ba#\d+\.w{i}\b", plan)) <= 2 for i in range(lines.HASHES // 8))
+
+
 def test_sieve(spark):
     rows = spark.range(5000).withColumn("x", F.col("id") * 7919)
     wanted = rows.filter("id % 10 = 3")
