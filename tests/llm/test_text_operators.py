@@ -410,6 +410,28 @@ def test_sketches_are_read_twice_at_most(spark):
     assert all(1 <= len(re.findall(rf"\ba#\d+\.w{i}\b", plan)) <= 2 for i in range(lines.HASHES // 8))
 
 
+def test_bounds_of_edits(spark, monkeypatch):
+    """What pieces and the lines without frequent characters tell holds for the edits of the whole; each settles some pairs."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("etaoinshrdlucmfw\u00e9\u4e01", k=rng.randint(2, 9)))
+    rows = []
+    for i in range(300):
+        a = [word() for _ in range(rng.choice((1, 4, 20, 50)))]
+        b = [word() if rng.random() < (0, 0.05, 0.15, 0.3, 0.7, 1)[i % 6] else w[: rng.randint(1, 9)] if rng.random() < 0.1 else w for w in a]
+        rows.append((2 * i, 2 * i + 1, " ".join(a), " ".join(b[i % 3 :] + b[: i % 2])))
+    pairs = spark.createDataFrame(rows, "a_id long, b_id long, a_text string, b_text string").withColumn("most", F.expr("cast(floor(0.2D * greatest(length(a_text), length(b_text))) as int)"))
+    pairs = pairs.withColumn("edits", F.expr("levenshtein(a_text, b_text)")).cache()
+    for cut in ((8, 1, 1024), *lines.PIECES):
+        near = pairs.withColumn("pieces", F.expr(lines._pieces(*cut))).filter(f"{lines._piecewise()} <= most")
+        assert near.count() > 20 and near.filter("edits > most").isEmpty()
+    far = pairs.filter(lines._surely_far())
+    assert far.count() > 20 and far.filter("edits <= most").isEmpty()
+    want = {r.a_id for r in pairs.filter("edits <= most").collect()}
+    for long in (0, 5, lines.LONG_EDITS):
+        monkeypatch.setattr(lines, "LONG_EDITS", long)
+        assert {r.a_id for r in lines.edit_similar(pairs.select("a_id", "b_id", "a_text", "b_text"), 0.8).collect()} == want
+
+
 def test_sieve(spark):
     rows = spark.range(5000).withColumn("x", F.col("id") * 7919)
     wanted = rows.filter("id % 10 = 3")
