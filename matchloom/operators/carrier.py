@@ -33,16 +33,16 @@ def _people(tracks: DataFrame, roles: DataFrame) -> DataFrame:
 def touches(ball: DataFrame, tracks: DataFrame, roles: DataFrame, cfg: CarrierConfig = CarrierConfig()) -> DataFrame:
     """Players and keepers whose box the ball touches."""
     people = _people(tracks, roles).select(*FRAME, "track_id", *BOX)
-    joined = people.join(ball.filter("x_px is not null").select(*FRAME, "x_px", "y_px"), FRAME)
+    joined = people.join(ball.filter("x_px is not null").select(*FRAME, "x_px", "y_px").hint("merge"), FRAME)
     return joined.select(*FRAME, "track_id", point_to_box(F.col("x_px"), F.col("y_px")).alias("dist")).filter(F.col("dist") <= cfg.touch_px)
 
 
 def proximities(ball: DataFrame, tracks: DataFrame, roles: DataFrame, homography: DataFrame, cfg: CarrierConfig = CarrierConfig()) -> DataFrame:
     """Players and keepers whose feet are near the ball on the pitch."""
-    people = _people(tracks, roles).join(homography.filter("h0 is not null").select(*FRAME, *H), FRAME)
+    people = _people(tracks, roles).join(homography.filter("h0 is not null").select(*FRAME, *H).hint("merge"), FRAME)
     x, y = project(*foot())
     feet = people.select(*FRAME, "track_id", x.alias("fx"), y.alias("fy"))
-    joined = feet.join(ball.filter("pitch_x is not null").select(*FRAME, "pitch_x", "pitch_y"), FRAME)
+    joined = feet.join(ball.filter("pitch_x is not null").select(*FRAME, "pitch_x", "pitch_y").hint("merge"), FRAME)
     return joined.select(*FRAME, "track_id", distance(F.col("pitch_x"), F.col("pitch_y"), F.col("fx"), F.col("fy")).alias("dist")).filter(F.col("dist") <= cfg.near_m)
 
 
@@ -87,7 +87,9 @@ def decisions(frames: DataFrame, ball: DataFrame, tracks: DataFrame, roles: Data
     one = best_with_margin(touches(ball, tracks, roles, cfg), cfg).select(*FRAME, F.col("track_id").alias("id1"), F.col("ambiguous").alias("am1"))
     two = best_with_margin(proximities(ball, tracks, roles, homography, cfg), cfg).select(*FRAME, F.col("track_id").alias("id2"), F.col("ambiguous").alias("am2"))
     present = _people(tracks, roles).select(*FRAME).distinct().withColumn("present", F.lit(True))
-    rows = frames.select(*FRAME).join(ball.select(*FRAME, "x_px", "source"), FRAME, "left").join(present, FRAME, "left").join(one, FRAME, "left").join(two, FRAME, "left").join(touch_like(velocity_change(ball, cfg), cfg), FRAME, "left")
+    rows = frames.select(*FRAME)
+    for each in (ball.select(*FRAME, "x_px", "source"), present, one, two, touch_like(velocity_change(ball, cfg), cfg)):
+        rows = rows.join(each.hint("merge"), FRAME, "left")
     method = F.when(F.col("id1").isNotNull(), F.when(F.col("am1"), "contested").otherwise("overlap")).when(F.col("id2").isNotNull(), F.when(F.col("am2"), "contested").otherwise("proximity"))
     playable = F.col("x_px").isNotNull() & F.coalesce("present", F.lit(False))
     rows = rows.select(*FRAME, F.col("source").alias("ball_source"), playable.alias("playable"), F.when(playable, method).alias("method"), F.coalesce("id1", "id2").alias("_id"), F.coalesce("touch_like", F.lit(True)).alias("touch_like"))

@@ -45,9 +45,9 @@ def plausibility(players: DataFrame, margin: float = MARGIN) -> DataFrame:
 
 
 def ball_frames(frames: DataFrame, tracked: DataFrame, carrier: DataFrame, teams: DataFrame) -> DataFrame:
-    """Every frame of each match with the ball, its carrier and the carrier's team."""
+    """Every frame of each match with the ball, its carrier and the carrier's team. Tables of a row a frame are never broadcast."""
     ball = tracked.select(*FRAME, F.col("x_px").alias("ball_x_px"), F.col("y_px").alias("ball_y_px"), F.col("pitch_x").alias("ball_pitch_x"), F.col("pitch_y").alias("ball_pitch_y"), F.col("source").alias("ball_source"), F.col("conf").alias("ball_conf"))
-    rows = spine(frames).join(ball, FRAME, "left").join(carrier.select(*FRAME, F.col("track_id").alias("carrier_track_id")), FRAME, "left")
+    rows = spine(frames).join(ball.hint("merge"), FRAME, "left").join(carrier.select(*FRAME, F.col("track_id").alias("carrier_track_id")).hint("merge"), FRAME, "left")
     named = teams.select("match_id", F.col("track_id").alias("carrier_track_id"), F.col("team").alias("carrier_team"))
     return rows.join(named, ["match_id", "carrier_track_id"], "left")
 

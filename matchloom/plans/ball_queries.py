@@ -114,7 +114,7 @@ NEEDS = "ball_px homography tracks track_role"
 
 def ball_on_pitch(t):
     x, y = g.project(F.col("x_px"), F.col("y_px"))
-    return t.ball_px.join(t.homography, FRAME).select(*FRAME, "x_px", "y_px", "source", "conf", x.alias("pitch_x"), y.alias("pitch_y"))
+    return t.ball_px.join(t.homography.hint("merge"), FRAME).select(*FRAME, "x_px", "y_px", "source", "conf", x.alias("pitch_x"), y.alias("pitch_y"))
 
 
 @register("c01_touch_candidates", NEEDS, NEAR + " --- SELECT * FROM touch", "dist")

@@ -46,7 +46,7 @@ def _(t):
     from matchloom.functions.geometry import project
 
     x, y = project(F.col("x_px"), F.col("y_px"))
-    tracked = t.ball_px.join(t.homography, FRAME).withColumns({"pitch_x": x, "pitch_y": y})
+    tracked = t.ball_px.join(t.homography.hint("merge"), FRAME).withColumns({"pitch_x": x, "pitch_y": y})
     out = frames.ball_frames(t.ev, tracked, t.ball_frame.select(*FRAME, F.col("carrier_track_id").alias("track_id")), t.track_team)
     return out.select(*FRAME, "ball_x_px", "ball_pitch_x", "ball_source", "ball_conf", "carrier_track_id", "carrier_team")
 
