@@ -106,16 +106,17 @@ def pooled_clusters(sample: DataFrame, k: int = 2, seed: int = SEED) -> tuple[Da
     return rows, rows.groupBy("team").agg(F.count("*").alias("n")).join(centres, "team")
 
 
-def squared_silhouette(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n, silhouette) over all rows of (keys, team, embedding) by squared Euclidean distance.
+def squared_silhouette(rows: DataFrame, keys: list[str], count: str | None = None) -> DataFrame:
+    """(keys, n, silhouette) over all rows of (keys, team, embedding) by squared Euclidean distance. A row stands for
+    ``count`` equal ones, if such a column is named.
 
     The mean squared distance of a row to a cluster follows from the cluster's size, sum of vectors and sum of squared lengths,
     so that no two rows meet. Of several other clusters the nearest counts; a cluster of one row scores 0, as does
     a row that equals all; without a second cluster the silhouette is null. Rows without a vector or team are left out.
     """
-    held = rows.filter("embedding is not null and team is not null").select(*keys, F.col("team").alias("_team"), F.transform("embedding", lambda x: x.cast("double")).alias("_x"))
+    held = rows.filter("embedding is not null and team is not null").select(*keys, F.col("team").alias("_team"), F.transform("embedding", lambda x: x.cast("double")).alias("_x"), (F.col(count) if count else F.lit(1)).cast("long").alias("_k"))
     held = held.withColumn("_length2", dot(F.col("_x"), F.col("_x")))
-    sums = held.groupBy(*keys, "_team").agg(F.count("*").alias("_n"), F.sum("_length2").alias("_sum2"), Summarizer.sum(array_to_vector("_x")).alias("_total"))
+    sums = held.groupBy(*keys, "_team").agg(F.sum("_k").alias("_n"), F.sum(F.col("_k") * F.col("_length2")).alias("_sum2"), Summarizer.sum(array_to_vector(F.transform("_x", lambda x: x * F.col("_k")))).alias("_total"))
     clusters = sums.groupBy(*keys).agg(F.collect_list(F.struct(F.col("_team").alias("team"), F.col("_n").alias("n"), F.col("_sum2").alias("sum2"), vector_to_array("_total").alias("total"))).alias("_clusters"))
 
     def mean(c):
@@ -123,12 +124,12 @@ def squared_silhouette(rows: DataFrame, keys: list[str]) -> DataFrame:
         own = F.when(c.team == F.col("_team"), 1).otherwise(0)
         return F.struct((own == 1).alias("own"), c.n.alias("n"), ((c.sum2 + c.n * F.col("_length2") - 2 * dot(F.col("_x"), c.total)) / F.nullif(c.n - own, F.lit(0))).alias("d"))
 
-    near = held.join(clusters, keys).select(*keys, F.transform("_clusters", mean).alias("_means"))
+    near = held.join(clusters, keys).select(*keys, "_k", F.transform("_clusters", mean).alias("_means"))
     mine = F.get(F.filter("_means", lambda c: c.own), F.lit(0))
     other = F.array_min(F.transform(F.filter("_means", lambda c: ~c.own), lambda c: c.d))
-    scored = near.select(*keys, F.greatest(mine.d, F.lit(0.0)).alias("_a"), F.greatest(other, F.lit(0.0)).alias("_b"), mine.n.alias("_n"), other.isNotNull().alias("_two"))
+    scored = near.select(*keys, "_k", F.greatest(mine.d, F.lit(0.0)).alias("_a"), F.greatest(other, F.lit(0.0)).alias("_b"), mine.n.alias("_n"), other.isNotNull().alias("_two"))
     s = F.when(F.col("_two"), F.when((F.col("_n") > 1) & (F.greatest("_a", "_b") > 0), (F.col("_b") - F.col("_a")) / F.greatest("_a", "_b")).otherwise(0.0))
-    return scored.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(s).alias("silhouette"))
+    return scored.groupBy(*keys).agg(F.sum("_k").alias("n"), (F.sum(F.col("_k") * s) / F.sum("_k")).alias("silhouette"))
 
 
 def kit_rules(clusters: DataFrame) -> DataFrame:

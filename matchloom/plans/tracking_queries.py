@@ -271,7 +271,8 @@ d AS (SELECT u.match_id, u.team, u.vec_id, u.k, m.team AS other, m.n, (m.sum2 +
 s AS (SELECT match_id, team, vec_id, k, greatest(max(dist) FILTER (other = team), 0) AS a, greatest(min(dist) FILTER (other <> team), 0) AS b, max(n) FILTER (other = team) AS own FROM d GROUP BY ALL)
   --- SELECT match_id, sum(k)::BIGINT AS n, sum(k * CASE WHEN own > 1 AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END) / sum(k) AS silhouette FROM s GROUP BY match_id""", "silhouette")
 def _(t):
-    return teams.squared_silhouette(vectors(t).join(t.track_team, ["match_id", "track_id"]).select("match_id", "team", "embedding"), ["match_id"])
+    used = t.track_vectors.filter("vec_id is not null").join(t.track_team, ["match_id", "track_id"]).groupBy("match_id", "team", "vec_id").agg(F.count("*").alias("k"))
+    return teams.squared_silhouette(used.join(t.file("embeddings").select("vec_id", "embedding"), "vec_id"), ["match_id"], "k")
 
 
 #: Clusters that SQL can make too: the centres are two of the vectors, the scales go from 1 to 3.

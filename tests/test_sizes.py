@@ -2,9 +2,11 @@
 
 import re
 
+import numpy as np
 import pytest
 
 from matchloom import plans
+from matchloom.operators import teams
 from matchloom.sources import fixtures
 
 JOINED = (
@@ -63,3 +65,18 @@ def test_size_of_what_is_generated(spark, sf, name):
     df = fixtures.table(spark, sf, name)
     few = df.select(*df.columns[:3])
     assert few._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() >= few.count() * 3 * 8
+
+
+def test_silhouette_of_counted_vectors(spark):
+    rng = np.random.default_rng(5)
+    rows = [(1, int(rng.integers(0, 3)), rng.normal(0, 1, 4).tolist(), int(rng.integers(1, 6))) for _ in range(30)] + [(2, 0, [1.0, 2.0], 3), (3, 0, [1.0], 2), (3, 1, [1.0], 1), (3, None, [5.0], 4), (3, 1, None, 4)]
+    counted = spark.createDataFrame(rows, "m long, team long, embedding array<double>, k long")
+    each = counted.selectExpr("m", "team", "embedding", "explode(sequence(1L, k))")
+    got, want = ({r.m: (r.n, r.silhouette) for r in out.collect()} for out in (teams.squared_silhouette(counted, ["m"], "k"), teams.squared_silhouette(each, ["m"])))
+    assert {k: (n, s and pytest.approx(s)) for k, (n, s) in want.items()} == got and got[1][0] > 30
+
+
+def test_equal_vectors_of_a_team_meet_clusters_once(spark, sf):
+    """They are counted before their embeddings join them."""
+    text = planned(plans.QUERIES["a04_squared_silhouette"](spark, sf))
+    assert re.search(r"Aggregate\(keys=\[match_id#\d+L, team#\d+L, vec_id#\d+L\]", text)
