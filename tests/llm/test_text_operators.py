@@ -3,6 +3,7 @@ tables and clashing columns."""
 
 import collections
 import hashlib
+import math
 import os
 import random
 import re
@@ -379,6 +380,38 @@ def test_fuzzy_lines_of_hot_keys_lose_no_pair(spark, monkeypatch):
     assert got == want and len({g for g in want.values()}) < 400
 
 
+def test_squares_take_turns_and_meet_every_pair(spark, monkeypatch):
+    """Few lines travel at once, and only lines of like lengths meet; each pair of a key that is near is found, once."""
+    rng = random.Random(8)
+    bits = lambda n: rng.getrandbits(n) - (1 << (n - 1))
+    prints = [(i, rng.randint(20, 90), rng.choice([5, 5 << 30, -7]), tuple(bits(64) for _ in range(8))) for i in range(300)]
+    marks = spark.createDataFrame(prints, "mark long, chars int, fp long, sketch " + "struct<" + ", ".join(f"w{i}: long" for i in range(8)) + ">")
+    keyed = [(k, i, i % 40) for i in range(300) for k in ((1, 2) if i % 3 else (1,))]
+    rows = spark.createDataFrame(keyed, "key long, mark long, group long").join(marks.select("mark", "chars"), "mark").withColumn("level", lines._level(0.8)).drop("chars")
+    near = lambda a, b: abs(a[1] - b[1]) <= math.floor(max(a[1], b[1]) * 0.2) and bin((a[2] ^ b[2]) & (2**64 - 1)).count("1") <= 3
+    one = {(i, j) for i in range(300) for j in range(i) if i % 40 != j % 40 and near(prints[i], prints[j])}
+    monkeypatch.setattr(lines, "SQUARE", 16)
+    keep, written = lines.materialize, []
+    monkeypatch.setattr(lines, "materialize", lambda df, label: (written.append(label), keep(df, label))[1])
+    for at_once in (1 << 20, 500):
+        written.clear()
+        got = [(max(r), min(r)) for df in lines._squares(rows, marks, at_once, 3, 0.8) for r in df.collect()]
+        assert set(got) == one and len(got) == len(one) + sum(1 for i, j in one if i % 3 and j % 3)
+        assert (written.count("line-near") > 4) == (at_once == 500)
+
+
+def test_texts_of_lines_without_a_pair_stay(spark, monkeypatch):
+    """The sieve comes before the exchange of the texts that are compared."""
+    seen, keep = {}, lines.materialize
+    monkeypatch.setattr(lines, "materialize", lambda df, label: (seen.update({label: df._jdf.queryExecution().optimizedPlan().toString()}), keep(df, label))[1])
+    texts = [f"one line of some words number {'abcdefghij'[i % 10] * 9} {i // 10}" for i in range(20)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "line long, normal string")
+    links = lines.verified(rows, spark.createDataFrame([(0, 10), (3, 4)], "a_id long, b_id long"), 0.9).collect()
+    assert [tuple(r) for r in links] == [(0, 10)]
+    last = next(x for x in seen["line-texts"].split("\n") if "Join" in x)
+    assert re.search(r"\(id#\d+L = id#\d+L\)", last)
+
+
 def test_fuzzy_lines_keep_one_of_equal_rows(spark):
     line, other = "a line that three rows without an id have", "one more line of the same three documents"
     rows = [(None, f"{line}\n{other}")] * 3 + [(7, line), (8, "x\n" + other.replace("more", "mere")), (9, "y"), (9, "y")]
